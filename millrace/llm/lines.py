@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, mean: int = 3, least: int = 2, id_col: str = "d
     Chunks are compared by 64-bit hash first; only texts that hold a repeated hash are read again, and their chunks
     are grouped by their bytes, so unlike chunks of one hash stay. Counts and first places are aggregated before
     they move, so a chunk that most documents hold is no hot key there; the joins may be split where keys are hot.
+    The lists of places grow with the documents, so they are never broadcast.
     Columns that begin with an underscore and the names used here (_lines, _chunks ...) are the operator's own.
     """
     key = row_key(F.col(id_col), F.col(text_col))
@@ -67,7 +68,7 @@ def dedup_lines(docs: DataFrame, mean: int = 3, least: int = 2, id_col: str = "d
     repeated = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     suspects = marks.join(repeated, "hash").groupBy("_row").agg(F.collect_set("at").alias("_places"))  # of one document
 
-    again = plain.join(suspects, "_row").dropDuplicates(["_row"])
+    again = plain.join(suspects.hint("merge"), "_row").dropDuplicates(["_row"])
     chunks = _exploded(again, "_text", mean, least, "_id", "_row", "_places").where(F.array_contains("_places", F.col("at")))
     chunks = spool(chunks.drop("_places"), "chunk-texts")
     firsts = (
@@ -85,7 +86,7 @@ def dedup_lines(docs: DataFrame, mean: int = 3, least: int = 2, id_col: str = "d
     removed = spool(removed, "chunks-removed")
 
     base = docs.drop("lines_removed")
-    found = base.withColumn("_row", key).join(removed, F.col("_row") == F.col("_of"), "left")
+    found = base.withColumn("_row", key).join(removed.hint("merge"), F.col("_row") == F.col("_of"), "left")
     cut = with_chunks(found, F.when(F.col("_gone").isNotNull(), F.col(text_col)), mean)
     stays = F.filter("_chunks", lambda chunk, i: ~F.array_contains("_gone", i))
     text = F.coalesce(F.array_join(F.flatten(stays), "\n"), F.col(text_col))
