@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +78,19 @@ def running_before(df: DataFrame, groups: list[str], bucket: str, order: list[st
     )
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task makes of a batch stays small however long texts are."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def list_views(column: pa.ListArray) -> list[np.ndarray]:
+    """A numpy view of each list of a column without nulls."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in itertools.pairwise(at.tolist())]
+
+
 def row_key(*columns: Column) -> Column:
     """A 64-bit key of a row's content."""
     return F.xxhash64(*columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import running_before, spool
+from millrace.llm.common import running_before, slices, spool
 
 
 @lru_cache(maxsize=2)
@@ -59,7 +59,7 @@ def cut_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, step = _word_tokens(tokenizer), 4 * capacity
-        for b in batches:
+        for b in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 whole = tokens.ids(text, end)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bktree import BKTree, local_components
-from millrace.llm.common import spool
+from millrace.llm.common import slices, spool
 from millrace.llm.components import components
 
 _MASK = (1 << 64) - 1
@@ -77,7 +77,7 @@ def exact_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text
     """doc_id and the 64-bit fingerprint (8 bytes, little-endian) of each row; a text without words has zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             made = [majority(shingle_hashes(t, width)).to_bytes(8, "little") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "fp"])
 
@@ -125,7 +125,7 @@ def similarity_fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for b in batches:
+        for b in slices(batches, 2048):
             prints, keys = [], []
             for text in b.column(1).to_pylist():
                 shingles = np.unique(rolled(word_hashes(text, known), width))
