@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import WORD, running_before, spool
 
 
+#: Up to so many sources their cuts are broadcast, a few MB; beyond that Spark joins by source and splits hot ones.
+BROADCAST_SOURCES = 100_000
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -102,6 +106,9 @@ def mix_documents(docs: DataFrame, seed: str = "", id_col: str = "doc_id", sourc
     cuts = plan.groupBy(F.col("source").alias("_of")).agg(
         F.max("epochs").alias("_epochs"), F.max(F.when(F.col("extra") > 0, F.col("key"))).alias("_last")
     )
+    cuts = spool(cuts, "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
     copies = F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)
     return (
