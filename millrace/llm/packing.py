@@ -39,8 +39,28 @@ class WordTokens(dict):
             self[word] = ids
         return ids
 
+    def learn(self, runs: set[bytes], at_once: int = 64) -> None:
+        """Keeps the ids of runs that are new, encoding many in one call; offsets say which run an id is of."""
+        new = sorted(w for w in runs.difference(self) if len(w) < 40)
+        if len(self) + len(new) > 400_000:
+            self.clear()
+        for i in range(0, len(new), at_once):
+            words = [w.decode() for w in new[i : i + at_once]]
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+            ends = np.searchsorted([a for a, _ in found.offsets], starts[1:]).tolist()
+            ids = np.array(found.ids, "<u4")
+            for w, part in zip(new[i : i + at_once], np.split(ids, ends), strict=True):
+                self[w] = part.tobytes()
+
     def ids(self, text: str | None, end: int) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split())) + end.to_bytes(4, "little")
+        return b"".join(map(self.__getitem__, self.runs(text))) + end.to_bytes(4, "little")
+
+    @staticmethod
+    def runs(text: str | None) -> list[bytes]:
+        """Runs without white space, A-Z lower-cased as the tokenizer does, but where special tokens may stand."""
+        raw = (text or "").encode()
+        return (raw if b"<|" in raw else raw.lower()).split()
 
 
 @lru_cache(maxsize=2)
@@ -61,7 +81,9 @@ def cut_pieces(
         tokens, step = _word_tokens(tokenizer), 4 * capacity
         for b in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
+            texts = b.column(1).to_pylist()
+            tokens.learn(set().union(*map(tokens.runs, texts)))
+            for i, text in enumerate(texts):
                 whole = tokens.ids(text, end)
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
