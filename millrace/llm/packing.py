@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +24,86 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _letters_only(path: str):
+    """The same model for lower-case letters between spaces, which need no normalizing and are one word each."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(_tokenizer(path).model)
+    out.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return out
+
+
+#: Letters that Unicode normalization leaves alone, lower-cased, then at most one stop or comma.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+
+
 class WordTokens(dict):
-    """Token ids (unsigned 32-bit, little-endian) of a run without ASCII white space; short runs are kept.
+    """Token ids (unsigned 32-bit, little-endian) of a run without ASCII white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in turn.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in turn. Short
+    runs are kept in two generations: when the young one is full it becomes the old one, from which runs that come
+    again move back, so common runs outlive rare ones.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = _tokenizer(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 40:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def learn(self, runs: set[bytes], at_once: int = 64) -> None:
-        """Keeps the ids of runs that are new, encoding many in one call; offsets say which run an id is of."""
-        new = sorted(w for w in runs.difference(self) if len(w) < 40)
-        if len(self) + len(new) > 400_000:
+        self.old: dict[bytes, bytes] = {}
+        self.tokenizer, self.letters = _tokenizer(path), _letters_only(path)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, runs: set[bytes], at_once: int = 256) -> None:
+        """Keeps the ids of new short runs, encoding many in one call; each word of a plain run ends with a last token."""
+        if len(self) > 200_000:
+            self.old = dict(self)
             self.clear()
-        for i in range(0, len(new), at_once):
-            words = [w.decode() for w in new[i : i + at_once]]
-            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-            ends = np.searchsorted([a for a, _ in found.offsets], starts[1:]).tolist()
-            ids = np.array(found.ids, "<u4")
-            for w, part in zip(new[i : i + at_once], np.split(ids, ends), strict=True):
-                self[w] = part.tobytes()
-
-    def ids(self, text: str | None, end: int) -> bytes:
-        return b"".join(map(self.__getitem__, self.runs(text))) + end.to_bytes(4, "little")
+        again = runs.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        plain, words, other = [], [], []
+        for run in runs.difference(again):
+            found = _PLAIN.fullmatch(run.decode().lower())
+            if found is None:
+                other.append(run)
+            else:
+                plain.append(run)
+                words.append(found[1] + " " + found[2] if found[2] else found[1])
+        for i in range(0, len(other), at_once):
+            some = other[i : i + at_once]
+            made = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
+            self.update((r, np.array(m.ids, "<u4").tobytes()) for r, m in zip(some, made, strict=True))
+        for i in range(0, len(words), at_once):
+            some = words[i : i + at_once]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.cumsum([w.count(" ") + 1 for w in some]) - 1
+            ends = (4 * np.flatnonzero(self.last[ids])[last] + 4).tolist()
+            whole = ids.tobytes()
+            self.update(zip(plain[i : i + at_once], map(whole.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def ids(self, texts: list[str | None], end: int) -> Iterator[bytes]:
+        """The ids of each text and ``end``. Texts are taken some at a time, so what is held of them is bounded."""
+        tail, held, size = end.to_bytes(4, "little"), [], 0
+        for text in texts:
+            held.append(self.runs(text))
+            size += len(text or "")
+            if size > 1_000_000:
+                yield from self._join(held, tail)
+                held, size = [], 0
+        yield from self._join(held, tail)
+
+    def _join(self, held: list[list[bytes]], tail: bytes) -> Iterator[bytes]:
+        found = [list(map(self.get, runs, repeat(b""))) for runs in held]
+        gaps = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
+        self._learn({runs[i] for runs, at in zip(held, gaps, strict=True) for i in at if len(runs[i]) < 40})
+        for runs, ids, at in zip(held, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.get(runs[i]) or self._encode(runs[i].decode())
+            yield b"".join(ids) + tail
 
     @staticmethod
     def runs(text: str | None) -> list[bytes]:
@@ -82,9 +131,7 @@ def cut_pieces(
         for b in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = b.column(1).to_pylist()
-            tokens.learn(set().union(*map(tokens.runs, texts)))
-            for i, text in enumerate(texts):
-                whole = tokens.ids(text, end)
+            for i, whole in enumerate(tokens.ids(texts, end)):
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     row.append(i)

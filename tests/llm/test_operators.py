@@ -115,9 +115,11 @@ def test_pack(spark, odd):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     tokens = packing.WordTokens(queries.word_tokenizer())
     odd_words = "İ ΑΣ. e\u0301 don't 'll a\x1cb \u00a0 \u200b ½ ﬁ <|endoftext|> <| ... 中文 \u0301 x\u0301".split(" ")
-    tokens.learn({w.encode() for t in [*texts[:60], *odd_words] for w in [*t.encode().decode().split(" ")] if w.strip() and len(w.encode().split()) == 1})
-    for t in [*texts[:60], " ".join(odd_words), "THE <|ENDOFTEXT|>", "İstanbul don't 3.5 e\u0301 \u00a0x\u2028y <|endoftext|> ΑΣ ΑΣ. a\x1cb"]:
-        assert np.frombuffer(tokens.ids(t, 1), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids + [1]
+    odd = [" ".join(odd_words), "THE <|ENDOFTEXT|>", "İstanbul don't 3.5 e\u0301 \u00a0x\u2028y <|endoftext|> ΑΣ ΑΣ. a\x1cb"]
+    odd += ["é, è. ß. ÷, a÷b x a.. b., ª º Éa éa\u0301. ée\u0301", None, "", " ", "w" * 50 + ". " + "é" * 45 + ", w. w"]
+    every = [*texts[:60], *odd_words, *odd]
+    for t, got in [*zip(every, tokens.ids(every, 1), strict=True), *zip(every, tokens.ids(every, 1), strict=True)]:
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids + [1]
 
 
 @pytest.mark.parametrize("seed", range(5))
