@@ -139,3 +139,23 @@ def diverse(hits: DataFrame, most: int, group: str) -> DataFrame:
     ordered = hits.withColumn("again", (in_group > 1).cast("int"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("again", "rank"))
     return ordered.withColumn("place", place).where(F.col("place") <= most)
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id and doc_id where the document's text contains the item's text; null texts contain nothing.
+
+    An item's longest inner word, which a document that contains the item has as a word too, finds the candidates by
+    an equi-join; containment decides. Items of fewer than three words have no inner word and are held against all
+    documents.
+    """
+    parts = F.split("text", " ", -1)
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    items = items.where("text is not null").select("query_id", "text", longest.alias("word"))
+    bodies = docs.where("text is not null").select("doc_id", F.col("text").alias("body"))
+    anchors = items.where("word is not null")
+    words = bodies.select("doc_id", F.explode(F.array_distinct(F.split("body", " ", -1))).alias("word"))
+    near = words.join(anchors, "word").select("doc_id", "query_id", "text")
+    found = near.join(bodies, "doc_id").where(F.contains("body", "text")).select("query_id", "doc_id")
+    short = items.where("word is null").join(bodies, F.contains("body", "text")).select("query_id", "doc_id")
+    return found.unionByName(short).distinct()

@@ -192,8 +192,7 @@ def eval_metrics(spark, sf):
     """hit@k, recall@k and MRR of the hybrid search; gold: documents that hold the passage."""
     docs, items = corpus(spark, sf), _items(spark, sf)
     found = ret.hybrid(docs, items).select("query_id", "doc_id", "rank")
-    # a passage's first token run locates it; containment decides
-    gold = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(items), F.contains("body", "text")).select("query_id", "doc_id")
+    gold = ret.containing(docs, items)
     sizes = gold.groupBy("query_id").agg(F.count_distinct("doc_id").alias("gold"))
     hits = found.join(gold, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("got"), F.min("rank").alias("first"), F.max((F.col("rank") <= 5).cast("int")).alias("hit5"))
     rows = items.select("query_id").join(sizes, "query_id", "left").join(hits, "query_id", "left")
