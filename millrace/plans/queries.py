@@ -9,6 +9,7 @@ from millrace.functions.text import clean_text, luhn_valid, partial_mask, token_
 from millrace.operators import relations as rel
 from millrace.operators import retrieval as ret
 from millrace.sources.tables import corpus, table
+from millrace.streaming.limiter import limit
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,6 +245,11 @@ def rate_limit_window(spark, sf):
     return table(spark, sf, "events").withColumn("us", ts).select("event_id", F.count("*").over(w).alias("n"))
 
 
+def rate_limit_exact(spark, sf):
+    """Which events a limiter of 10 accepted hits in 300 s lets pass."""
+    return limit(table(spark, sf, "events")).select("event_id", "user_id", "accepted")
+
+
 def _sales(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("amount", F.col("l_extendedprice") * (1 - F.col("l_discount")))
