@@ -26,7 +26,7 @@ class BKTree:
         self.edge = np.fromiter((d for c in children for d in c), np.int64, self.first[-1])
         self.child = np.fromiter((n for c in children for n in c.values()), np.int64, self.first[-1])
 
-    def near(self, queries: np.ndarray, radius: int, chunk: int = 512):
+    def near(self, queries: np.ndarray, radius: int, chunk: int = 256):
         """Yields (query rows, node rows) within the radius, a bounded number of queries at a time.
 
         From a node at distance d only edges within d - radius .. d + radius are followed.

@@ -196,6 +196,17 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [5, 8, 9]
 
 
+@pytest.mark.parametrize(("changed", "stays"), [(20, 1), (70, 2)])  # five-word shingles: similarities 0.85 and 0.6
+def test_near_copies_by_similarity(spark, changed, stays):
+    rows = []
+    for i in range(60):
+        words = [word(1000 * i + k) for k in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(words[:100] + [word(10**6 + 1000 * i + k) for k in range(changed)] + words[100 + changed :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.keep_one_of_each(docs).count() == 60 * stays
+
+
 def test_passages(spark, odd):
     shared = prose(10_000, 60)
     edited = shared.split()
