@@ -61,6 +61,20 @@ _WINDOW = f"""SELECT conv_id, turn, tokens, used FROM (SELECT *, sum(tokens) OVE
   FROM (SELECT conv_id, turn, {_TOK} AS tokens FROM conversations WHERE text IS NOT NULL AND text <> '')) WHERE used <= 1500"""
 _SEEN = "(visibility = 'public' OR (visibility IN ('internal', 'restricted') AND role IN ({roles})) OR {owner})"
 
+_LABELLED = f"""{_PAIRS}, means AS (SELECT label, list(x ORDER BY dim) AS v FROM (
+  SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS dim FROM vs) GROUP BY ALL) GROUP BY label),
+near AS (SELECT b.vec_id AS query_id, a.label, round(coalesce({_COSINE}, 0), 6) AS score FROM means a JOIN vs b ON b.vec_id % 100 = 0)"""
+_FOUND = f"{_HYBRID}, hits AS (SELECT query_id, doc_id, score, rank, kb_id, text FROM found JOIN corpus USING (doc_id))"
+
+
+def _values(name: str, of: str, group: str) -> str:
+    return rf"""{name}_lines AS (SELECT {group}, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS section FROM (SELECT *, string_split(text, chr(10)) AS lines FROM {of})),
+{name}_pairs AS (SELECT *, string_split(unnest(regexp_extract_all(line, '\p{{L}}+ [0-9]+(?:\.[0-9]+)?')), ' ') AS p FROM {name}_lines),
+{name}_counts AS (SELECT {group}, lower(p[1]) AS name, count(DISTINCT p[2]) AS n_values, count(DISTINCT doc_id) AS n_docs, count(DISTINCT (doc_id, section)) AS n_sections FROM {name}_pairs GROUP BY ALL),
+{name} AS (SELECT {group}, name, n_values, n_docs, CASE WHEN n_docs = 1 AND n_sections > 1 THEN 'section_mismatch' ELSE 'value_mismatch' END AS kind,
+  CASE WHEN n_docs = 1 AND n_sections > 1 THEN 'medium' ELSE 'high' END AS severity FROM {name}_counts WHERE n_values > 1)"""
+
+
 ORACLES = {
     "lexical_bm25_topk": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "lexical_relaxed": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', False)}, {_top('t', 'lex', 20)} SELECT * FROM t",
@@ -127,6 +141,30 @@ SELECT col, value FROM v WHERE col IN (SELECT col FROM v GROUP BY col HAVING cou
     "progress_throttle": """WITH b AS (SELECT event_id, user_id, floor(value / 5)::BIGINT AS bucket, lag(floor(value / 5)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
 SELECT event_id, user_id, bucket FROM b WHERE last IS NULL OR last <> bucket""",
     "rate_limit_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS n FROM events",
+    "token_bucket": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+m AS (SELECT *, max(us - i * 1200000000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 1200000000 AS full_at FROM e)
+SELECT event_id, user_id, greatest(0, coalesce(full_at - 2400000000 - us, 0))::BIGINT AS waited FROM m""",
+    "vector_topk_filtered": f"{_PAIRS}, chosen AS (SELECT * FROM scored WHERE label IN (1, 2, 3)), {_top('t', 'chosen', 10, 'vec_id')} SELECT * FROM t",
+    "two_stage_docs": f"""{_LABELLED}, wide AS (SELECT * FROM near WHERE score >= 0.3), {_top('five', 'wide', 5, 'label')},
+s AS (SELECT scored.* FROM scored JOIN five USING (query_id, label)), {_top('t', 's', 10, 'vec_id')} SELECT * FROM t""",
+    "per_doc_cap": "SELECT conv_id, turn, n FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n FROM conversations) WHERE n <= 10",
+    "chunk_diff": """WITH s AS (SELECT source AS kb_id, md5(coalesce(text, '')) AS hash, max(doc_id % 3 <> 0) AS old, max(doc_id % 3 <> 1) AS new FROM documents GROUP BY ALL)
+SELECT kb_id, hash, CASE WHEN NOT new THEN 'delete' WHEN NOT old THEN 'insert' ELSE 'reuse' END AS action FROM s""",
+    "rerank_reorder": f"""{_FOUND}, asked AS (SELECT item_id AS query_id, list_distinct({_TOKENS}) AS q FROM benchmark),
+r AS (SELECT query_id, doc_id, rank, round(len(list_intersect(q, {_TOKENS}))::DOUBLE / nullif(len(q), 0), 6) AS relevance FROM hits JOIN asked USING (query_id)),
+o AS (SELECT *, coalesce(max(relevance) OVER (PARTITION BY query_id) - min(relevance) OVER (PARTITION BY query_id), 0) > 0.001 AS told FROM r)
+SELECT query_id, doc_id, relevance, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN told THEN relevance END DESC NULLS LAST, rank)::INT AS place FROM o""",
+    "prompt_budget": f"""{_FOUND}, u AS (SELECT *, length(coalesce(text, '')) AS n, sum({_TOK} + 20) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM hits)
+SELECT query_id, doc_id, rank, (CASE WHEN used <= 6000 THEN n ELSE least(n, 8980) END)::INT AS chars FROM u WHERE used <= 6000 OR rank = 1""",
+    "conflict_keys": f"WITH {_CORPUS}, {_values('c', 'corpus', 'kb_id')} SELECT * FROM c",
+    "evidence_gate": f"""{_FOUND}, {_values('c', 'hits', 'query_id')},
+have AS (SELECT DISTINCT query_id, unnest({_TOKENS}) AS term FROM hits),
+share AS (SELECT query_id, count(*) AS slots, count(have.term) AS covered FROM lex_terms LEFT JOIN have USING (query_id, term) GROUP BY query_id),
+clash AS (SELECT query_id, max(severity = 'high') AS high FROM c GROUP BY query_id)
+SELECT query_id, slots, covered, round(covered::DOUBLE / slots, 6) AS coverage, coalesce(high, false) AS conflict,
+  coalesce(high, false) OR round(covered::DOUBLE / slots, 6) < 0.7 AS refused FROM share LEFT JOIN clash USING (query_id)""",
+    "faq_filter_rate_by_group": "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*) * 100, 2) AS rate FROM orders GROUP BY 1",
+    "faq_return_reason": "SELECT l_returnflag, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 2) AS share FROM lineitem GROUP BY 1",
     "faq_region_rank": f"SELECT r_name, round(sum({_AMOUNT}), 2) AS sales FROM {_PLACED} GROUP BY r_name",
     "faq_monthly_trend": f"SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum({_AMOUNT}), 2) AS sales, count(*) AS n FROM {_SALES} GROUP BY 1",
     "faq_category_share": f"SELECT p_type, round(sum({_AMOUNT}) / sum(sum({_AMOUNT})) OVER () * 100, 2) AS share FROM {_PART} GROUP BY p_type",

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, luhn_valid, partial_mask, token_estimate, years
+from millrace.functions.text import clean_text, luhn_valid, partial_mask, token_estimate, tokens, years
+from millrace.operators import evidence as ev
 from millrace.operators import relations as rel
 from millrace.operators import retrieval as ret
 from millrace.sources.tables import corpus, table
+from millrace.streaming import bucket
+from millrace.streaming.breaker import breaker
 from millrace.streaming.limiter import limit
 
 
@@ -250,6 +253,81 @@ def rate_limit_exact(spark, sf):
     return limit(table(spark, sf, "events")).select("event_id", "user_id", "accepted")
 
 
+def token_bucket(spark, sf):
+    """How long each event waits for one of 3 tokens, of which one comes back every 20 minutes."""
+    return bucket.token_bucket(table(spark, sf, "events"), per_token_us=1_200_000_000, burst=3)
+
+
+def circuit_breaker(spark, sf):
+    """Events of type error are the failures; two in a row open a user's breaker for a day."""
+    return breaker(table(spark, sf, "events"), F.col("event_type") == "error", failures=2, seconds=86_400)
+
+
+def vector_topk_filtered(spark, sf):
+    v = _vectors(spark, sf)
+    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    return ret.vector_top(v.where(F.col("label").isin(1, 2, 3)), queries, 10).select("query_id", "vec_id", "score", "rank")
+
+
+def two_stage_docs(spark, sf):
+    """The labels whose mean vector is near the query first, 5 at most, then the best vectors of these."""
+    v = _vectors(spark, sf)
+    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    means = v.select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("m"))
+    score = F.round(ret.cosine(F.col("m"), F.col("qv")), 6)
+    first = ret.top(means.join(queries, score >= 0.3).withColumn("score", score), 5, id_col="label").select("query_id", "label", "qv")
+    near = v.join(first, "label").where("vec_id <> query_id")
+    scored = near.select("query_id", "vec_id", F.round(ret.cosine(F.col("v"), F.col("qv")), 6).alias("score"))
+    return ret.top(scored, 10, id_col="vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+def per_doc_cap(spark, sf):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", n.alias("n")).where("n <= 10")
+
+
+def chunk_diff(spark, sf):
+    """Two versions of each source, a third of the documents changed between them: what becomes of each content."""
+    d = F.col("doc_id")
+    hashed = corpus(spark, sf).groupBy("kb_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    sides = hashed.agg(F.max(d % 3 != 0).alias("old"), F.max(d % 3 != 1).alias("new"))
+    return sides.select("kb_id", "hash", F.when(~F.col("new"), "delete").when(~F.col("old"), "insert").otherwise("reuse").alias("action"))
+
+
+def _found(spark, sf):
+    """The hybrid search's hits with the documents' texts."""
+    docs = corpus(spark, sf)
+    return ret.hybrid(docs, _items(spark, sf)).select("query_id", "doc_id", "score", "rank").join(docs.select("doc_id", "kb_id", "text"), "doc_id")
+
+
+def rerank_reorder(spark, sf):
+    """Hits reordered by the share of the query's tokens that the document has."""
+    found = _found(spark, sf)
+    asked = F.array_distinct(tokens(F.col("question")))
+    both = found.join(_items(spark, sf).select("query_id", F.col("text").alias("question")), "query_id")
+    shared = F.size(F.array_intersect(asked, tokens(F.col("text")))) / F.nullif(F.size(asked), F.lit(0))
+    return ev.rerank(found.drop("text", "kb_id"), both.select("query_id", "doc_id", F.round(shared, 6).alias("relevance"))).select("query_id", "doc_id", "relevance", "rank", "place")
+
+
+def prompt_budget(spark, sf):
+    return ev.prompt_budget(_found(spark, sf), 6000)
+
+
+def conflict_keys(spark, sf):
+    return ev.conflicts(ev.named_values(corpus(spark, sf)), ["kb_id", "name"])
+
+
+def evidence_gate(spark, sf):
+    """Coverage of each query's terms by its hits, whether their values clash, and whether an answer is refused."""
+    found = _found(spark, sf)
+    share = ev.coverage(found, _items(spark, sf))
+    values = ev.named_values(found, "query_id")
+    clash = ev.conflicts(values, ["query_id", "name"]).groupBy("query_id").agg(F.max(F.col("severity") == "high").alias("high"))
+    high = F.coalesce("high", F.lit(False))
+    return share.join(clash, "query_id", "left").select("query_id", "slots", "covered", "coverage", high.alias("conflict"), ev.refuses(F.col("coverage"), high, 0.7).alias("refused"))
+
+
 def _sales(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("amount", F.col("l_extendedprice") * (1 - F.col("l_discount")))
@@ -326,6 +404,16 @@ def faq_filter_rate(spark, sf):
     return table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100, 2).alias("rate"))
 
 
+def faq_filter_rate_by_group(spark, sf):
+    done = F.count_if(F.col("o_orderstatus") == "F")
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), done.alias("done"), F.round(done / F.count("*") * 100, 2).alias("rate"))
+
+
+def faq_return_reason(spark, sf):
+    r = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return r.select("l_returnflag", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 2).alias("share"))
+
+
 def faq_weekend(spark, sf):
     return _sales(spark, sf).groupBy((F.dayofweek("o_orderdate").isin(1, 7)).alias("weekend")).agg(_sum().alias("sales"), F.count("*").alias("n"))
 

@@ -23,9 +23,10 @@ def _accept(us: int, recent: deque[int], hits: int, span: int) -> bool:
     return True
 
 
-def _timed(events: DataFrame) -> DataFrame:
-    timed = events.where("user_id is not null and ts is not null")
-    return timed.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+def timed(events: DataFrame, *keep: str) -> DataFrame:
+    """The events with a user and a time, their time in microseconds."""
+    known = events.where("user_id is not null and ts is not null")
+    return known.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *keep)
 
 
 def limit(events: DataFrame, hits: int = 10, seconds: int = 300) -> DataFrame:
@@ -46,7 +47,7 @@ def limit(events: DataFrame, hits: int = 10, seconds: int = 300) -> DataFrame:
                 passed.append(_accept(us, recent, hits, span))
             yield b[["event_id", "user_id"]].assign(accepted=passed)
 
-    ordered = _timed(events).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    ordered = timed(events).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
     return ordered.mapInPandas(run, _SCHEMA)
 
 
@@ -61,6 +62,6 @@ def limit_stream(events: DataFrame, hits: int = 10, seconds: int = 300) -> DataF
         state.update((list(recent),))
         yield rows[["event_id", "user_id"]].assign(accepted=passed)
 
-    return _timed(events).groupBy("user_id").applyInPandasWithState(
+    return timed(events).groupBy("user_id").applyInPandasWithState(
         run, _SCHEMA, "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
