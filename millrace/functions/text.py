@@ -67,3 +67,30 @@ def clean_text(text: Column) -> Column:
 
 def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(20[0-9]{2})"), 1))
+
+
+#: What becomes of a page's markup, in this order: pattern and what stands for it.
+HTML_STEPS = [
+    (r"(?is)<script[ >].*?</script>", ""),
+    (r"(?is)<style[ >].*?</style>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body)([ /][^>]*)?>", "\n"),
+    (r"<[^>]*>", ""),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"&quot;", '"'),
+    (r"&#39;", "'"),
+    (r"&nbsp;", " "),
+    (r"&amp;", "&"),
+    (r"[ \t\r]+", " "),
+    (r" ?\n[ \n]*", "\n"),
+    (r"^[ \n]+|[ \n]+$", ""),
+]
+
+
+def html_text(html: Column) -> Column:
+    """A page's text: scripts, styles, comments and tags taken out, block tags as line ends, five entities and the
+    fixed space read. Null stays null."""
+    for pattern, by in HTML_STEPS:
+        html = F.regexp_replace(html, pattern, by)
+    return html

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.functions.text import STOP_WORDS
+from millrace.functions.text import HTML_STEPS, STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -52,6 +52,13 @@ _ENTITIES = f"""WITH ents AS (SELECT doc_id, entity, freq FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, entity) AS n FROM (
     SELECT doc_id, entity, count(*) AS freq FROM (SELECT doc_id, unnest({_TOKENS}) AS entity FROM documents)
     WHERE length(entity) > 1 AND entity NOT IN ({_STOP}) GROUP BY ALL HAVING count(*) >= 2)) WHERE n <= 200)"""
+_RELATIONS = f"""{_ENTITIES}, df AS (SELECT entity, count(DISTINCT doc_id) AS df FROM ents GROUP BY entity),
+w AS (SELECT doc_id, entity, df, freq * (ln((1 + (SELECT count(DISTINCT doc_id) FROM ents))::DOUBLE / (1 + df)) + 1) AS w FROM ents JOIN df USING (entity)),
+norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, count(*) AS size FROM w GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS source, b.doc_id AS target, sum(a.w * b.w) AS d, count(*) AS n FROM w a JOIN w b ON a.entity = b.entity AND a.doc_id < b.doc_id WHERE a.df <= 20 GROUP BY ALL),
+r AS (SELECT source, target, round(d / (x.norm * y.norm), 6) AS cosine, round(n::DOUBLE / (x.size + y.size - n), 6) AS jaccard
+  FROM shared JOIN norms x ON x.doc_id = source JOIN norms y ON y.doc_id = target),
+rels AS (SELECT *, CASE WHEN cosine < 0.3 THEN 'unknown' WHEN jaccard >= 0.5 THEN 'duplicate' ELSE 'complementary' END AS relation FROM r)"""
 _SALES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _AMOUNT = "l_extendedprice * (1 - l_discount)"
 _PLACED = f"{_SALES} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -75,6 +82,13 @@ def _values(name: str, of: str, group: str) -> str:
   CASE WHEN n_docs = 1 AND n_sections > 1 THEN 'medium' ELSE 'high' END AS severity FROM {name}_counts WHERE n_values > 1)"""
 
 
+def _html(column: str) -> str:
+    for pattern, by in HTML_STEPS:
+        quoted = [x.replace("'", "''") for x in (pattern, by)]
+        column = f"regexp_replace({column}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return column
+
+
 ORACLES = {
     "lexical_bm25_topk": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "lexical_relaxed": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', False)}, {_top('t', 'lex', 20)} SELECT * FROM t",
@@ -95,13 +109,19 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY again, rank)::
     "doc_mean_pool": "SELECT label, dim - 1 AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1))::INT AS dim FROM embeddings) GROUP BY ALL",
     "entity_tf": f"{_ENTITIES} SELECT * FROM ents",
     "entity_df": f"{_ENTITIES} SELECT entity, count(DISTINCT doc_id) AS df FROM ents GROUP BY entity",
-    "relation_class": f"""{_ENTITIES}, df AS (SELECT entity, count(DISTINCT doc_id) AS df FROM ents GROUP BY entity),
-w AS (SELECT doc_id, entity, df, freq * (ln((1 + (SELECT count(DISTINCT doc_id) FROM ents))::DOUBLE / (1 + df)) + 1) AS w FROM ents JOIN df USING (entity)),
-norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, count(*) AS size FROM w GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS source, b.doc_id AS target, sum(a.w * b.w) AS d, count(*) AS n FROM w a JOIN w b ON a.entity = b.entity AND a.doc_id < b.doc_id WHERE a.df <= 20 GROUP BY ALL),
-r AS (SELECT source, target, round(d / (x.norm * y.norm), 6) AS cosine, round(n::DOUBLE / (x.size + y.size - n), 6) AS jaccard
-  FROM shared JOIN norms x ON x.doc_id = source JOIN norms y ON y.doc_id = target)
-SELECT *, CASE WHEN cosine < 0.3 THEN 'unknown' WHEN jaccard >= 0.5 THEN 'duplicate' ELSE 'complementary' END AS relation FROM r""",
+    "relation_class": f"{_RELATIONS} SELECT * FROM rels",
+    "cross_doc_neighbors": f"""{_RELATIONS}, {_HYBRID[5:]}, edges AS (SELECT source AS doc_id, target AS other, cosine FROM rels WHERE relation = 'complementary'
+  UNION ALL SELECT target, source, cosine FROM rels WHERE relation = 'complementary'),
+asked AS (SELECT query_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY freq DESC, entity) AS n FROM (
+  SELECT query_id, entity, count(*) AS freq FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS entity FROM benchmark)
+  WHERE length(entity) > 1 AND entity NOT IN ({_STOP}) GROUP BY ALL)) WHERE n <= 200),
+worded AS (SELECT query_id, doc_id, round(count(*)::DOUBLE / any_value(n), 6) AS score FROM asked JOIN ents USING (entity)
+  JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id) USING (query_id) GROUP BY query_id, doc_id),
+every AS (SELECT query_id, other AS doc_id, cosine AS score FROM found JOIN edges USING (doc_id) UNION ALL SELECT * FROM worded WHERE score >= 0.2
+  UNION ALL SELECT query_id, doc_id, score FROM bow WHERE score >= 0.7),
+best AS (SELECT query_id, doc_id, max(score) AS score FROM every WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = every.query_id AND f.doc_id = every.doc_id) GROUP BY ALL),
+{_top('t', 'best', 5)} SELECT * FROM t""",
+    "html_pages": f"SELECT page_id, {_html('html')} AS text FROM pages",
     "kb_list_visible": f"WITH {_CORPUS} SELECT kb_id, count(*) AS n FROM corpus WHERE {_SEEN.format(roles='1', owner='owner = 2')} GROUP BY kb_id",
     "kb_denied": f"WITH {_CORPUS} SELECT DISTINCT kb_id FROM corpus WHERE kb_id NOT IN (SELECT kb_id FROM corpus WHERE visibility <> 'public' AND role = 1 AND kb_id IS NOT NULL)",
     "content_hash_dups": "SELECT sha256(coalesce(text, '')) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, luhn_valid, partial_mask, token_estimate, tokens, years
+from millrace.functions.text import clean_text, html_text, luhn_valid, partial_mask, token_estimate, tokens, years
+from millrace.operators import chunks
 from millrace.operators import evidence as ev
 from millrace.operators import relations as rel
 from millrace.operators import retrieval as ret
@@ -104,6 +105,14 @@ def relation_class(spark, sf):
     return rel.pair_relations(rel.entities(corpus(spark, sf)))
 
 
+def cross_doc_neighbors(spark, sf):
+    """Documents beside the hybrid search's hits that bear on the query."""
+    docs, items = corpus(spark, sf), _items(spark, sf)
+    matched = ret.hybrid(docs, items).select("query_id", "doc_id")
+    ents = rel.entities(docs)
+    return rel.neighbors(matched, rel.pair_relations(ents), ents, rel.query_entities(items), ret.bow_cosine(docs, items)).select("query_id", "doc_id", "score", "rank")
+
+
 def kb_list_visible(spark, sf):
     return corpus(spark, sf).where(ret.acl_predicate([1], 2)).groupBy("kb_id").agg(F.count("*").alias("n"))
 
@@ -143,6 +152,14 @@ def page_noise(spark, sf):
     return kept.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+def html_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+def structure_chunks(spark, sf):
+    return chunks.with_ids(chunks.chunks(corpus(spark, sf)))
+
+
 def clean_documents(spark, sf):
     return corpus(spark, sf).select("doc_id", clean_text(F.col("text")).alias("text"))
 
