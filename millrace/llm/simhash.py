@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bktree import BKTree, local_components
@@ -117,21 +117,28 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out, 0)
 
 
+def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    return np.unique(rolled(word_hashes(text, known), width))
+
+
 def similarity_fingerprints(
-    docs: DataFrame, width: int = 5, bands: int = 12, rows: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, bands: int = 16, rows: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, a SimHash of ``WIDE`` 64-bit words of the set of ``width``-word shingles, and ``bands`` keys.
+    """doc_id, node, a SimHash of ``WIDE`` 64-bit words of the set of ``width``-word shingles, and ``bands`` keys.
 
-    A key joins ``rows`` min-hashes. Texts of Jaccard similarity s share a key with probability
-    1 - (1 - s ** rows) ** bands: 0.998 at 0.8 with the defaults. Texts without words have the zero fingerprint.
+    node names the set of shingles. A key joins ``rows`` min-hashes. Texts of Jaccard similarity s share a key with
+    probability 1 - (1 - s ** rows) ** bands: all but one in 100,000 at 0.8 with the defaults. Texts without words
+    have the zero fingerprint.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in slices(batches, 2048):
-            prints, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in b.column(1).to_pylist():
-                shingles = np.unique(rolled(word_hashes(text, known), width))
+                shingles = shingle_set(text, width, known)
+                nodes.append(hashlib.md5(shingles.tobytes()).digest())
                 prints.append(b"".join(majority(mixed(shingles, s)).to_bytes(8, "little") for s in range(WIDE)))
                 if len(shingles):
                     least = np.array([mixed(shingles, 100 + i).min() for i in range(bands * rows)], np.uint64)
@@ -144,62 +151,55 @@ def similarity_fingerprints(
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"]
+                [b.column(0), pa.array(nodes, pa.binary()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "node", "fp", "keys"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp binary, keys array<bigint>"
+        run, f"doc_id {kind}, node binary, fp binary, keys array<bigint>"
     )
 
 
-def node_name(fp: bytes) -> bytes:
-    """What a fingerprint is called in the link table: itself, or the md5 of a long one."""
-    return fp if len(fp) <= 16 else hashlib.md5(fp).digest()
-
-
-def node_column(fp: str) -> Column:
-    """The same of a column."""
-    return F.when(F.length(fp) <= 16, F.col(fp)).otherwise(F.unhex(F.md5(fp)))
-
-
-def _link_units(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, in_tree, fp), those of a unit together: links each fingerprint to the least of its component."""
-
-    def links(rows: pd.DataFrame) -> pa.RecordBatch:
-        rows = rows.sort_values(["in_tree", "fp"], ascending=[False, True]).drop_duplicates("fp")
-        prints = rows["fp"].tolist()
-        words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-        tree = BKTree(words[: int(rows["in_tree"].sum())])
-        root = local_components(len(prints), tree.near(words, radius))
-        a = [i for i in range(len(prints)) if root[i] != i]
-        names = [node_name(fp) for fp in prints]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([names[i] for i in a], pa.binary()), pa.array([names[root[i]] for i in a], pa.binary())], ["a", "b"]
-        )
-
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pd.DataFrame]:
+    """The rows of each value of ``by``, which stand together."""
     held = None
     for b in batches:
         held = b.to_pandas() if held is None else pd.concat([held, b.to_pandas()], ignore_index=True)
-        change = held["unit"].ne(held["unit"].shift()).to_numpy().nonzero()[0]
+        change = held[by].ne(held[by].shift()).to_numpy().nonzero()[0]
         for start, stop in itertools.pairwise(change):
-            yield links(held.iloc[start:stop])
+            yield held.iloc[start:stop]
         held = held.iloc[change[-1] :] if len(change) else held
     if held is not None and len(held):
-        yield links(held)
+        yield held
+
 
+def _searched(rows: pd.DataFrame, radius: int) -> tuple[list[bytes], np.ndarray]:
+    """The distinct nodes of a unit's rows (in_tree, node, fp), and the first of each one's component within ``radius``."""
+    rows = rows.sort_values(["in_tree", "node"], ascending=[False, True]).drop_duplicates("node")
+    words = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
+    tree = BKTree(words[: int(rows["in_tree"].sum())])
+    return rows["node"].tolist(), local_components(len(rows), tree.near(words, radius))
 
-def near_links(prints: DataFrame, radius: int, unit: int = 1000, wide: bool = False) -> DataFrame:
-    """Links (a, b) between the names of distinct fingerprints that join all within ``radius`` that share a key.
 
-    ``prints`` has distinct fp with keys. Fingerprints of one key make a shard. A shard of over ``unit`` of them is
-    split into trees of about that many, and each tree is searched by its own fingerprints and, one tree's at a time,
-    by those of the earlier trees; no task holds a whole shard. A task gives a spanning star of what it links, never
-    all the pairs. ``wide`` fingerprints are longer than their names, and follow only where a key is shared.
+def _stars(nodes: list[bytes], root: np.ndarray) -> pa.RecordBatch:
+    """Links from each node to its root."""
+    a = [i for i in range(len(nodes)) if root[i] != i]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([nodes[i] for i in a], pa.binary()), pa.array([nodes[root[i]] for i in a], pa.binary())], ["a", "b"]
+    )
+
+
+def _units(prints: DataFrame, unit: int) -> DataFrame:
+    """unit, in_tree, node of each search that ``prints`` (node, keys) calls for.
+
+    Nodes of one key make a shard. A shard of over ``unit`` of them is split into trees of about that many, and each
+    tree is searched by its own nodes and, one tree's at a time, by those of the earlier trees; no task holds a whole
+    shard.
     """
-    keyed = spool(prints.select(node_column("fp").alias("node"), F.explode("keys").alias("key")), "keyed")
+    keyed = spool(prints.select("node", F.explode("keys").alias("key")), "keyed")
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sharded = (
+    return (
         keyed.join(many, "key")
         .withColumn("trees", F.ceil(F.col("n") / unit).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
@@ -208,15 +208,78 @@ def near_links(prints: DataFrame, radius: int, unit: int = 1000, wide: bool = Fa
         .withColumn("asks", F.least("own", "other"))
         .select(F.xxhash64("key", "tree", "asks").alias("unit"), (F.col("tree") == F.col("own")).alias("in_tree"), "node")
     )
-    if wide:
-        sharded = sharded.join(prints.select(node_column("fp").alias("node"), "fp"), "node").select("unit", "in_tree", "fp")
-    else:
-        sharded = sharded.withColumnRenamed("node", "fp")
+
+
+def near_links(prints: DataFrame, radius: int, unit: int = 1000) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that join all within ``radius`` that share a key.
+
+    ``prints`` has distinct fp with keys. A task gives a spanning star of what it links, never all the pairs.
+    """
+    sharded = _units(prints.select(F.col("fp").alias("node"), "keys"), unit).withColumn("fp", F.col("node"))
     dealt = sharded.repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(lambda batches: _link_units(batches, radius), "a binary, b binary")
+    return dealt.mapInArrow(lambda batches: (_stars(*_searched(rows, radius)) for rows in _runs(batches, "unit")), "a binary, b binary")
+
 
+def near_candidates(prints: DataFrame, radius: int, unit: int = 1000) -> DataFrame:
+    """Groups (component, node) such that nodes within ``radius`` that share a key are together in one of them.
 
-def near_duplicates(marked: DataFrame, radius: int, wide: bool = False) -> DataFrame:
+    ``prints`` has distinct node with fp and keys. Groups are the components within each search, of at most two trees'
+    nodes; the same group found by several keys is given once.
+    """
+    sharded = _units(prints, unit).join(prints.select("node", "fp"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "unit"):
+            nodes, root = _searched(rows, radius)
+            inside: dict[int, list[bytes]] = {}
+            for node, r in zip(nodes, root.tolist(), strict=True):
+                inside.setdefault(r, []).append(node)
+            groups = [sorted(g) for g in inside.values() if len(g) > 1]
+            names = [hashlib.md5(b"".join(g)).digest() for g in groups for _ in g]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.binary()), pa.array([n for g in groups for n in g], pa.binary())], ["component", "node"]
+            )
+
+    dealt = sharded.repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "component binary, node binary").distinct()
+
+
+def exact_roots(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """The first row of each row's component over pairs whose sets have a Jaccard similarity of ``similarity`` or more.
+
+    Pairs beyond ``radius`` are left aside, and those that are joined already; the nearest are compared first.
+    """
+    size = np.array([len(s) for s in sets])
+    root = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        d = np.bitwise_count(prints[:i] ^ prints[i]).sum(axis=1, dtype=np.int64)
+        fits = np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]) - 1e-6
+        left = ((d <= radius) & fits).nonzero()[0]
+        left = left[np.argsort(d[left], kind="stable")]
+        while len(left):
+            j, left = left[0], left[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both / (size[i] + size[j] - both) >= similarity:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+                left = left[root[left] != root[i]]
+    return root
+
+
+def exact_links(groups: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the nodes of each group (component, node) whose ``sets`` (node, fp, shingles) are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(slices(batches), "component"):
+            rows = rows.sort_values("node")
+            prints = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
+            yield _stars(rows["node"].tolist(), exact_roots(prints, rows["shingles"].tolist(), radius, similarity))
+
+    dealt = groups.join(sets, "node").select("component", "node", "fp", "shingles").repartition("component")
+    return dealt.sortWithinPartitions("component").mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(marked: DataFrame, radius: int) -> DataFrame:
     """doc_id, fp, component_id of each row of ``marked`` (doc_id, fp, keys), a written table.
 
     component_id is the smallest id reachable over fingerprints within ``radius``; null ids are reached but never
@@ -224,8 +287,8 @@ def near_duplicates(marked: DataFrame, radius: int, wide: bool = False) -> DataF
     """
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     prints = spool(prints, "prints")
-    roots = components(near_links(prints, radius, wide=wide))
-    named = prints.select("fp", "least", node_column("fp").alias("node")).join(roots, "node").drop("node")
+    roots = components(near_links(prints, radius))
+    named = prints.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.join(least, "root").select("fp", "component")
     final = spool(
@@ -254,21 +317,40 @@ def _hex(column: str):
     return F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(8)))
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 178, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, radius: int = 256, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with one row for each group of near copies: the one with the smallest id.
 
-    Texts of ``width``-word shingles with a Jaccard similarity of 0.8 are expected to differ in 155 of the 1024 bits,
-    with a standard deviation of 11.5; the radius lies two of these higher, so that about 98 in 100 such pairs link,
-    and 7 in 100 at a similarity of 0.7. Shards are the rows that share a key of min-hashes; the fingerprints decide. Rows with a null id stay
-    only where their whole group has none, one of each. Columns are those of ``docs``.
+    Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    and what these link. Candidates share a key of min-hashes and lie within ``radius`` of the 1024 bits; their sets
+    are then compared. At 0.8, 155 differing bits are expected with a standard deviation of 11.5, and 192 and 12.5 at
+    worst, for sets of 4 and 5 shingles; the radius lies five deviations beyond. Equal sets are one node, however many
+    rows have them. Rows with a null id stay only where their whole group has none, one of each. Columns are those of
+    ``docs``.
     """
     whole = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
     marked = spool(similarity_fingerprints(whole.select("_row", id_col, text_col), width, id_col="_row", text_col=text_col), "marked")
     ids = spool(whole.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("id")), "ids")
-    groups = spool(near_duplicates(marked, radius, wide=True), "groups")
+    prints = marked.groupBy("node").agg(F.min("doc_id").alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    prints = spool(prints, "prints")
+    candidates = spool(near_candidates(prints.select("node", "fp", "keys"), radius), "candidates")
+
+    asked = prints.select("node", "at", "fp").join(candidates.select("node").distinct(), "node")
+    texts = whole.select("_row", F.col(text_col).alias("_text")).join(asked, F.col("_row") == F.col("at")).dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in slices(batches):
+            made = [shingle_set(t, width, known).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], ["node", "fp", "shingles"])
+
+    sets = spool(texts.select("node", "fp", "_text").mapInArrow(run, "node binary, fp binary, shingles array<bigint>"), "candidate-sets")
+    roots = spool(components(exact_links(candidates, sets, radius, similarity)), "roots")
+    groups = marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group"))
     best = (
         groups.join(ids, "doc_id")
-        .groupBy("component_id")
+        .groupBy("group")
         .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", F.col("doc_id").alias("_row"))).alias("best"))
         .select(F.col("best._row").alias("_row"))
     )

@@ -207,6 +207,34 @@ def test_near_copies_by_similarity(spark, changed, stays):
     assert simhash.keep_one_of_each(docs).count() == 60 * stays
 
 
+def stays(rows):
+    """Ids that stay where all pairs of five-word shingle sets are compared."""
+    sets, root = [], list(range(len(rows)))
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, size = len(sets[i] & sets[j]), len(sets[i]) + len(sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * (size - both):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root] if a != b else root
+    return sorted(min(d for (d, _), r in zip(rows, root, strict=True) if r == x) for x in set(root))
+
+
+def test_near_copies_against_all_pairs(spark):
+    rows = []
+    for i in range(120):  # similarities from 0.87 to 0.67
+        words = [word(1000 * i + k) for k in range(304)]
+        changed = 15 + i // 2 % 40
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100] + [word(10**6 + 1000 * i + k) for k in range(changed)] + words[100 + changed :]))]
+    for i in range(60):  # sets of 4 and 5 shingles
+        rows += [(1000 + 2 * i, prose(5 * 10**6 + 100 * i, 8)), (1001 + 2 * i, prose(5 * 10**6 + 100 * i, 9))]
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == stays(rows)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == stays([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_passages(spark, odd):
     shared = prose(10_000, 60)
     edited = shared.split()
