@@ -152,19 +152,23 @@ def cut_pieces(
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _combination(gap: int, have: int, mirror: int, capacity: int) -> list[int] | None:
-    """One, two or three lengths that sum to ``gap``, the largest first; ``have`` and ``mirror`` are sets of lengths
-    as bits, from below and from above."""
+def _combination(gap: int, have: int, mirror: int, capacity: int, left: dict[int, int]) -> list[int] | None:
+    """One, two or three lengths that sum to ``gap``, the largest first, each at most as often as it is ``left``;
+    ``have`` and ``mirror`` are the sets of these lengths as bits, from below and from above."""
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
+    def pair(total: int, most: int, first: tuple[int, ...] = ()) -> tuple[int, int] | None:
         if total < 2:
             return None
         # bit a is set where both a and total - a are present
         shift = capacity - total
         both = have & (mirror >> shift if shift >= 0 else mirror << -shift)
         both &= (1 << (min(most, total - 1) + 1)) - 2
-        a = both.bit_length() - 1
-        return (a, total - a) if a > 0 and a * 2 >= total else None
+        while (a := both.bit_length() - 1) > 0 and a * 2 >= total:
+            chosen = (*first, a, total - a)
+            if all(chosen.count(k) <= left[k] for k in chosen):
+                return a, total - a
+            both ^= 1 << a
+        return None
 
     if have >> gap & 1:
         return [gap]
@@ -175,7 +179,7 @@ def _combination(gap: int, have: int, mirror: int, capacity: int) -> list[int] |
         a = rest.bit_length() - 1
         if a * 3 < gap:
             return None
-        if found := pair(gap - a, a):
+        if found := pair(gap - a, a, (a,)):
             return [a, *found]
         rest ^= 1 << a
     return None
@@ -209,10 +213,8 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tup
         take(longest, 1)
         gap = capacity - longest
         while gap:
-            found = _combination(gap, have, mirror, capacity)
-            if found and all(found.count(k) <= left.get(k, 0) for k in found):
-                chosen = found
-            else:
+            chosen = _combination(gap, have, mirror, capacity, left)
+            if not chosen:
                 fits = have & ((1 << (gap + 1)) - 1)
                 if not fits:
                     break

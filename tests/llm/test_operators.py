@@ -144,6 +144,11 @@ def test_plan_bins(seed):
     assert bins <= plain
 
 
+def test_plan_bins_goes_on_where_a_length_is_short():
+    counts = dict.fromkeys((60, 50, 30, 20, 17, 14, 9), 1)  # 20 + 20 fills the gap of 40 but there is one 20; 17 + 14 + 9 does too
+    assert sorted(packing.plan_bins(counts, 100)) == [(1, [(50, 1), (30, 1), (20, 1)]), (1, [(60, 1), (17, 1), (14, 1), (9, 1)])]
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
