@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import running_before, slices, spool
+from millrace.llm.common import blocks, running_before, spool
 
 
 @lru_cache(maxsize=2)
@@ -24,92 +26,77 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _letters_only(path: str):
-    """The same model for lower-case letters between spaces, which need no normalizing and are one word each."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    out = Tokenizer(_tokenizer(path).model)
-    out.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-    )
-    return out
-
-
-#: Letters that Unicode normalization leaves alone, lower-cased, then at most one stop or comma.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: Letters that Unicode normalization leaves alone, lower-cased, then ASCII marks: one word of each to the tokenizer.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The letter that stands for each byte in the vocabulary: visible Latin-1 for itself, the others from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = {b: b for b in _SEEN} | {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _SEEN)}
 
 
-class WordTokens(dict):
-    """Token ids (unsigned 32-bit, little-endian) of a run without ASCII white space.
+class WordTokens:
+    """Token ids (unsigned 32-bit, little-endian) of texts, run by run.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in turn. Short
-    runs are kept in two generations: when the young one is full it becomes the old one, from which runs that come
-    again move back, so common runs outlive rare ones.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs without ASCII
+    white space in turn. A block of texts is split and its distinct runs are named in Arrow; only these are looked up,
+    and numpy puts their ids in the texts' order. Short runs are kept in two generations: when the young one is full it becomes
+    the old one, from which runs that come again move back, so common runs outlive rare ones.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
-        self.tokenizer, self.letters = _tokenizer(path), _letters_only(path)
-        names = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(names.values()) + 1, bool)
-        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, runs: set[bytes], at_once: int = 256) -> None:
-        """Keeps the ids of new short runs, encoding many in one call; each word of a plain run ends with a last token."""
-        if len(self) > 200_000:
-            self.old = dict(self)
-            self.clear()
-        again = runs.intersection(self.old)
-        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        plain, words, other = [], [], []
-        for run in runs.difference(again):
-            found = _PLAIN.fullmatch(run.decode().lower())
-            if found is None:
-                other.append(run)
-            else:
-                plain.append(run)
-                words.append(found[1] + " " + found[2] if found[2] else found[1])
-        for i in range(0, len(other), at_once):
-            some = other[i : i + at_once]
-            made = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            self.update((r, np.array(m.ids, "<u4").tobytes()) for r, m in zip(some, made, strict=True))
-        for i in range(0, len(words), at_once):
-            some = words[i : i + at_once]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.cumsum([w.count(" ") + 1 for w in some]) - 1
-            ends = (4 * np.flatnonzero(self.last[ids])[last] + 4).tolist()
-            whole = ids.tobytes()
-            self.update(zip(plain[i : i + at_once], map(whole.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-
-    def ids(self, texts: list[str | None], end: int) -> Iterator[bytes]:
-        """The ids of each text and ``end``. Texts are taken some at a time, so what is held of them is bounded."""
-        tail, held, size = end.to_bytes(4, "little"), [], 0
-        for text in texts:
-            held.append(self.runs(text))
-            size += len(text or "")
-            if size > 1_000_000:
-                yield from self._join(held, tail)
-                held, size = [], 0
-        yield from self._join(held, tail)
-
-    def _join(self, held: list[list[bytes]], tail: bytes) -> Iterator[bytes]:
-        found = [list(map(self.get, runs, repeat(b""))) for runs in held]
-        gaps = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
-        self._learn({runs[i] for runs, at in zip(held, gaps, strict=True) for i in at if len(runs[i]) < 40})
-        for runs, ids, at in zip(held, found, gaps, strict=True):
-            for i in at:
-                ids[i] = self.get(runs[i]) or self._encode(runs[i].decode())
-            yield b"".join(ids) + tail
-
-    @staticmethod
-    def runs(text: str | None) -> list[bytes]:
-        """Runs without white space, A-Z lower-cased as the tokenizer does, but where special tokens may stand."""
-        raw = (text or "").encode()
-        return (raw if b"<|" in raw else raw.lower()).split()
+    def __init__(self, path: str, keep: int = 300_000):
+        self.keep = keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one word that needs neither normalizing nor splitting."""
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _learn(self, run: str) -> bytes:
+        plain = _PLAIN.fullmatch(run.lower())
+        if not plain:
+            return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        word, marks = plain.groups()
+        ends = self.marks.get(marks)
+        if ends is None:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            ends = self.marks[marks] = self._word(marks)
+        return self._word(word) + ends
+
+    def _look_up(self, runs: list[str]) -> list[bytes]:
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, runs))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            run = runs[i]
+            out[i] = ids = self.old.get(run) or self._learn(run)
+            if len(run) < 40:
+                self.young[run] = ids
+        return out
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and where each text's ids stop. A null text is empty.
+
+        A-Z are lower-cased first, as the tokenizer does, but where special tokens may stand.
+        """
+        texts = pc.fill_null(texts, "")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)  # gives empty runs at the ends, which have no ids
+        named = split.flatten().dictionary_encode()
+        known = [*self._look_up(named.dictionary.to_numpy(zero_copy_only=False).tolist()), end.to_bytes(4, "little")]
+        flat, size = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(size) - size
+        stops = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        runs = np.insert(named.indices.to_numpy(zero_copy_only=False), stops, len(known) - 1)
+        n = size[runs]
+        after = np.cumsum(n)
+        at = np.repeat((first[runs] - after + n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], after[stops + np.arange(len(stops))]
 
 
 @lru_cache(maxsize=2)
@@ -123,28 +110,29 @@ def cut_pieces(
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked) of each piece of each document's ids and ``end``.
 
     A document of over ``capacity`` ids is cut into pieces of that many, the last one being the rest. A null text is
-    empty: its one piece is the end id. Rows that repeat give their pieces again. ``tokenizer`` is a file's path.
+    empty: its one piece is the end id. Rows that repeat give their pieces again. Other columns are left out, so their
+    names do not matter; an empty table gives an empty one. ``tokenizer`` is a file's path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, step = _word_tokens(tokenizer), 4 * capacity
-        for b in slices(batches):
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for i, whole in enumerate(tokens.ids(texts, end)):
-                for k, at in enumerate(range(0, len(whole), step)):
-                    part = whole[at : at + step]
+        tokens = _word_tokens(tokenizer)
+        for b in blocks(batches, 1, 8 << 20):
+            row, piece, start, length, crc, parts = [], [], [], [], [], []
+            ids, stops = tokens.ids(b.column(1), end)
+            for i, (low, high) in enumerate(itertools.pairwise([0, *stops.tolist()])):
+                for k, at in enumerate(range(low, high, capacity)):
+                    part = ids[at : min(high, at + capacity)]
                     row.append(i)
                     piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
+                    start.append(at - low)
+                    length.append(len(part))
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        parts.append(part.astype(np.int32))
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array(parts, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -152,37 +140,53 @@ def cut_pieces(
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _combination(gap: int, have: int, mirror: int, capacity: int, left: dict[int, int]) -> list[int] | None:
-    """One, two or three lengths that sum to ``gap``, the largest first, each at most as often as it is ``left``;
-    ``have`` and ``mirror`` are the sets of these lengths as bits, from below and from above."""
+class Sums:
+    """The lengths that are left, found by the sum of one, two or three of them.
 
-    def pair(total: int, most: int, first: tuple[int, ...] = ()) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        # bit a is set where both a and total - a are present
-        shift = capacity - total
-        both = have & (mirror >> shift if shift >= 0 else mirror << -shift)
-        both &= (1 << (min(most, total - 1) + 1)) - 2
-        while (a := both.bit_length() - 1) > 0 and a * 2 >= total:
+    ``left`` says how often each length is left and only falls. For a sum that is asked for, the pairs that make it
+    are listed once; pairs whose lengths are used up are dropped when they are met, and a sum that no pair or triple
+    makes is remembered.
+    """
+
+    def __init__(self, left: dict[int, int]):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.no_triple: set[int] = set()
+
+    def _listed(self, total: int) -> list[int]:
+        """The larger halves of the pairs that make ``total``, the largest last."""
+        found = self.pairs.get(total)
+        if found is None:
+            lengths = np.fromiter(self.left, np.int64, len(self.left))
+            there = np.zeros(total + 1, bool)
+            there[lengths[lengths <= total]] = True
+            larger = np.arange((total + 1) // 2, total)
+            found = self.pairs[total] = larger[there[larger] & there[total - larger]].tolist()
+        return found
+
+    def pair(self, total: int, first: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """``first`` and two lengths that sum to ``total``, each as often as it is left."""
+        listed = self._listed(total)
+        while listed and not (self.left.get(listed[-1]) and self.left.get(total - listed[-1])):
+            listed.pop()
+        for a in reversed(listed):
             chosen = (*first, a, total - a)
-            if all(chosen.count(k) <= left[k] for k in chosen):
-                return a, total - a
-            both ^= 1 << a
+            if all(self.left.get(k, 0) >= chosen.count(k) for k in chosen):
+                return chosen
         return None
 
-    if have >> gap & 1:
-        return [gap]
-    if found := pair(gap, gap):
-        return list(found)
-    rest = have & ((1 << gap) - 1)
-    while rest:
-        a = rest.bit_length() - 1
-        if a * 3 < gap:
-            return None
-        if found := pair(gap - a, a, (a,)):
-            return [a, *found]
-        rest ^= 1 << a
-    return None
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are left and sum to ``total``; fewer are better, then a longer first."""
+        if self.left.get(total):
+            return (total,)
+        if found := self.pair(total):
+            return found
+        if total not in self.no_triple:
+            for a in sorted((k for k in self.left if total <= 3 * k < 3 * total), reverse=True):
+                if found := self.pair(total - a, (a,)):
+                    return found
+            self.no_triple.add(total)
+        return None
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -195,30 +199,27 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tup
     left = {k: n for k, n in counts.items() if n}
     if any(k < 1 or k > capacity for k in left):
         raise ValueError("lengths must lie between 1 and the capacity")
-    have = sum(1 << k for k in left)
-    mirror = sum(1 << (capacity - k) for k in left)
-    plan = []
+    sums, plan = Sums(left), []
+    order = sorted(left)  # those that are used up are dropped
 
     def take(length: int, n: int) -> None:
-        nonlocal have, mirror
         left[length] -= n
         if not left[length]:
             del left[length]
-            have ^= 1 << length
-            mirror ^= 1 << (capacity - length)
+            del order[bisect.bisect_left(order, length)]
 
-    while have:
-        longest = have.bit_length() - 1
+    while left:
+        longest = order[-1]
         used = {longest: 1}
         take(longest, 1)
         gap = capacity - longest
         while gap:
-            chosen = _combination(gap, have, mirror, capacity, left)
+            chosen = sums.exact(gap)
             if not chosen:
-                fits = have & ((1 << (gap + 1)) - 1)
+                fits = bisect.bisect_right(order, gap)
                 if not fits:
                     break
-                chosen = [fits.bit_length() - 1]
+                chosen = (order[fits - 1],)
             for k in chosen:
                 used[k] = used.get(k, 0) + 1
                 take(k, 1)
