@@ -103,7 +103,7 @@ WITH docs AS (
   SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM docs
 ), cut AS (
   SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR
-    ((CASE WHEN i > 3 THEN h[i - 3] ELSE 0 END) * 9 + (CASE WHEN i > 2 THEN h[i - 2] ELSE 0 END) * 3 + h[i - 1]) % 3 = 0) AS starts
+    ((CASE WHEN i > 2 THEN h[i - 2] ELSE 0 END) * 31 + h[i - 1]) % 65537 % 2 = 0) AS starts
   FROM hashed
 ), pieces AS (
   SELECT doc_id, unnest(range(1, len(starts) + 1)) AS place, starts, lines FROM cut

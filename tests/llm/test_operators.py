@@ -6,12 +6,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bktree, components, langid, lines, mixing, packing, passages, quality, queries, sharding, simhash, sql, topk, urls
+from millrace.llm import bktree, common, components, langid, lines, mixing, packing, passages, quality, queries, sharding, simhash, sql, topk, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, bucket string"
@@ -117,9 +118,20 @@ def test_pack(spark, odd):
     odd_words = "İ ΑΣ. e\u0301 don't 'll a\x1cb \u00a0 \u200b ½ ﬁ <|endoftext|> <| ... 中文 \u0301 x\u0301".split(" ")
     odd = [" ".join(odd_words), "THE <|ENDOFTEXT|>", "İstanbul don't 3.5 e\u0301 \u00a0x\u2028y <|endoftext|> ΑΣ ΑΣ. a\x1cb"]
     odd += ["é, è. ß. ÷, a÷b x a.. b., ª º Éa éa\u0301. ée\u0301", None, "", " ", "w" * 50 + ". " + "é" * 45 + ", w. w"]
+    odd += ["thston,%%% x'%s x.' 'll& don't, it's| [a] a[1] été!?", "a<|endoftext|>b", "\x1c a", "naïve… œuvre ﬀ"]
     every = [*texts[:60], *odd_words, *odd]
-    for t, got in [*zip(every, tokens.ids(every, 1), strict=True), *zip(every, tokens.ids(every, 1), strict=True)]:
-        assert np.frombuffer(got, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids + [1]
+    for keep in (0, 300_000, 300_000):  # with an empty cache, a new one and a full one
+        tokens.keep = keep
+        ids, stops = tokens.ids(pa.array(every), 1)
+        for t, low, high in zip(every, [0, *stops], stops, strict=False):
+            assert ids[low:high].tolist() == whole.encode(t or "", add_special_tokens=False).ids + [1]
+
+
+def test_blocks_hold_every_row():
+    texts = ["a" * n for n in (0, 5, 90, 1, 1, 300, 0, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["i", "t"])
+    parts = list(common.blocks([batch, batch.slice(0, 0)], 1, 100))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(9)) and len(parts) == 2
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -144,6 +156,25 @@ def test_plan_bins(seed):
     assert bins <= plain
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_no_exact_fill_is_passed_over(seed):
+    rng = np.random.default_rng(seed)
+    left = {int(k): int(rng.integers(1, 4)) for k in rng.integers(1, 61, rng.integers(2, 14))}
+    sums = packing.Sums(left)
+    for _ in range(60):
+        gap = int(rng.integers(1, 61))
+        every = [c for n in (1, 2, 3) for c in itertools.combinations_with_replacement(sorted(left), n)]
+        fills = [c for c in every if sum(c) == gap and all(c.count(k) <= left[k] for k in c)]
+        got = sums.exact(gap)
+        assert (got is None) == (not fills)
+        if got:
+            assert sum(got) == gap and len(got) == min(map(len, fills)) and all(got.count(k) <= left[k] for k in got)
+            for k in got:
+                left[k] -= 1
+                if not left[k]:
+                    del left[k]
+
+
 def test_plan_bins_goes_on_where_a_length_is_short():
     counts = dict.fromkeys((60, 50, 30, 20, 17, 14, 9), 1)  # 20 + 20 fills the gap of 40 but there is one 20; 17 + 14 + 9 does too
     assert sorted(packing.plan_bins(counts, 100)) == [(1, [(50, 1), (30, 1), (20, 1)]), (1, [(60, 1), (17, 1), (14, 1), (9, 1)])]
@@ -267,6 +298,20 @@ def test_compact_windows_cover_every_run():
             assert i + int(h[i:j].argmin()) in places
 
 
+def test_boundaries_hang_on_each_line_of_the_window(spark):
+    for window in (2, 3):
+        for place in range(window):  # of the lines before the boundary
+            base = [f"line {i}" for i in range(window)]
+            texts = []
+            for i in range(40):
+                changed = base.copy()
+                changed[place] = f"other {i}"
+                texts.append(("\n".join([*changed, "end"]),))
+            cut = lines.with_chunks(spark.createDataFrame(texts, "text string"), F.col("text"), 2, window)
+            begins = [window + 1 in r.starts for r in cut.select("starts").collect()]
+            assert 8 < sum(begins) < 32, (window, place)
+
+
 def test_lines(spark, odd):
     shared = "\n".join(f"shared line {i} of the notice" for i in range(30))
     rows = [(2, "own\n" + shared), (1, shared + "\nmine"), (3, "alone\nand so on")]
