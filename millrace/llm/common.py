@@ -96,6 +96,20 @@ def blocks(batches: Iterable[pa.RecordBatch], column: int, size: int) -> Iterato
                 yield b.slice(start, stop - start)
 
 
+def runs(batches: Iterable[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of ``by``, which stand together, as one batch."""
+    held = None
+    for b in batches:
+        b = b if held is None else pa.concat_batches([held, b])
+        key = b.column(by).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        for start, stop in itertools.pairwise(edges):
+            yield b.slice(start, stop - start)
+        held = b.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
 def list_views(column: pa.ListArray) -> list[np.ndarray]:
     """A numpy view of each list of a column without nulls."""
     values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -113,12 +127,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``spool``, dealt by ``key``: later joins on it move the other side only."""
+def bucketed(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """Like ``spool``, dealt by ``key``: later joins on it move the other side only. ``dealt``: ``df`` is the result of
+    an aggregation by ``key``, which has dealt it already."""
     spark = df.sparkSession
-    table, parts = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), parallelism(spark)
+    table, parts = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{table}"
-    df.repartition(parts, key).write.option("path", path).bucketBy(parts, key).saveAsTable(table)
+    rows = df if dealt else df.repartition(parts, key)
+    rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(table)
     atexit.register(_forget, spark, path)
     return spark.table(table)
 
@@ -141,4 +157,4 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], n: str, by: li
     dealt = many.join(F.broadcast(hot), keys, "left")
     dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     sent = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return dealt.join(sent.drop(n), [*keys, "_part"], how).drop("_part")
+    return dealt.join(sent, [*keys, "_part"], how).drop("_part")
