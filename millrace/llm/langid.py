@@ -11,21 +11,40 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import blocks
+
 _LETTER = regex.compile(r"\p{L}")
 
 
-def ngram_buckets(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """The bucket of each n-gram of the lower-cased text, a space put before and after it."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in orders:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append((h >> np.uint64(64 - bits)).astype(np.int32))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+def ngram_hashes(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket of each run of ``n`` code points."""
+    h = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the lower-cased texts, a space put before and after each, and where each text's stop."""
+    spaced = [f" {t.lower()} ".encode("utf-32-le", "surrogatepass") for t in texts]
+    stops = np.cumsum([len(s) // 4 for s in spaced], dtype=np.int64)
+    return np.frombuffer(b"".join(spaced), np.uint32).astype(np.uint64), stops
+
+
+def ngrams(texts: list[str], orders: tuple[int, ...], bits: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text's place, bucket) of every n-gram of the texts, a bounded number at a time, in the order of the texts.
+
+    An n-gram lies within one text; long texts are walked with an overlap, so none is lost or made up between parts.
+    """
+    codes, stops = code_points(texts)
+    for start in range(0, len(codes), step):
+        for n in orders:
+            bucket = ngram_hashes(codes[start : start + step + n - 1], n, bits)
+            first = np.arange(start, start + len(bucket))
+            owner = np.searchsorted(stops, first, "right")
+            inside = first + n <= stops[owner]
+            yield owner[inside], bucket[inside]
 
 
 @dataclass(frozen=True)
@@ -38,19 +57,27 @@ class Model:
     orders: tuple[int, ...]
     bits: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; ('und', 0) for a text that is null or has no letter."""
-        if not self.languages or text is None or not _LETTER.search(text):
-            return "und", 0.0
-        total = self.prior.astype(float)
-        for start in range(0, len(text), 50_000):  # one n-gram more or less at the seams of very long texts
-            found = ngram_buckets(text[start : start + 50_000], self.orders, self.bits)
-            bucket, count = np.unique(found, return_counts=True) if len(found) > 4096 else (found, 1)
-            rows = self.log_prob[bucket]
-            total = total + (count @ rows if len(found) > 4096 else rows.sum(axis=0))
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+    def log_odds(self, texts: list[str]) -> np.ndarray:
+        """texts x languages: the product of the texts' sparse n-gram counts and the log-probabilities, with the prior."""
+        total = np.tile(self.prior.astype(float), (len(texts), 1))
+        for owner, bucket in ngrams(texts, self.orders, self.bits):
+            if len(owner):
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                total[owner[starts]] += np.add.reduceat(self.log_prob[bucket], starts, axis=0)
+        return total
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Of each text the likeliest language and its posterior; 'und' and 0 for one that is null or has no letter."""
+        named, score = ["und"] * len(texts), np.zeros(len(texts))
+        rows = [i for i, t in enumerate(texts) if self.languages and t is not None and _LETTER.search(t)]
+        odds = self.log_odds([texts[i] for i in rows])
+        if rows:
+            best = odds.argmax(axis=1)
+            odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+            score[rows] = odds[np.arange(len(rows)), best] / odds.sum(axis=1)
+            for i, k in zip(rows, best.tolist(), strict=True):
+                named[i] = self.languages[k]
+        return named, score
 
 
 def train(
@@ -66,7 +93,7 @@ def train(
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), orders, bits)
+        return Model([], np.zeros((1 << bits, 0)), np.zeros(0), orders, bits)
     share = F.create_map(*(c for k in languages for c in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))))
     chosen = rows.where(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000
@@ -75,9 +102,10 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {k: i for i, k in enumerate(languages)}
         counts = np.zeros((len(languages), 1 << bits), np.int64)
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[at[lang]] += np.bincount(ngram_buckets(text, orders, bits), minlength=1 << bits)
+        for b in blocks(batches, 1, 4 << 20):
+            lang = np.array([at[k] for k in b.column(0).to_pylist()], np.int64)
+            for owner, bucket in ngrams(b.column(1).to_pylist(), orders, bits):
+                counts += np.bincount((lang[owner] << bits) + bucket, minlength=counts.size).reshape(counts.shape)
         i, bucket = counts.nonzero()
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(bucket), pa.array(counts[i, bucket])], ["i", "bucket", "n"])
@@ -86,22 +114,21 @@ def train(
     counts = np.full((1 << bits, len(languages)), smoothing)
     counts[counted["bucket"].to_numpy(int), counted["i"].to_numpy(int)] += counted["n"].to_numpy(float)
     prior = np.array([sizes[k] for k in languages], float)
-    log_prob = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    log_prob = np.log(counts / counts.sum(axis=0))
     return Model(languages, log_prob, np.log(prior / prior.sum()), orders, bits)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of each row. Only the text is looked at. The model is broadcast: 2 ** bits x
-    languages floats. Empty tables give empty ones; rows that repeat are predicted one by one."""
+    """doc_id, lang_pred and score of each row. Only the text is looked at, and all of it. The model is broadcast:
+    2 ** bits x languages floats; a batch of texts is scored at once. Of languages that are equally likely the first by
+    code point is named. Rows that repeat are predicted one by one, null ids like others. Other columns are left out,
+    so their names do not matter; an empty table gives an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [sent.value.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
+        for b in blocks(batches, 1, 1 << 20):
+            named, score = sent.value.predict(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(named, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
