@@ -29,24 +29,23 @@ def judge_urls(
     empty host and path. Rows that repeat, or have a null id, are judged like any other; other columns are left out.
     An empty rule table leaves every page at ``default``.
 
-    Each distinct (host, path) is expanded into its host suffixes times the path prefixes of the lengths that rules
-    have; the lengths come from the rules, so no rule can be missed. Expressions meet the rules on 32 bits of their
-    digest, and the whole digest is compared after that.
+    Each distinct (host, path) is expanded into its host suffixes of as many labels times the path prefixes of the
+    lengths that rules have; both come from the rules, so no rule can be missed and a long host costs no more than
+    they ask for. Expressions meet the rules on 32 bits of their digest, and the whole digest is compared after that.
     """
     listed = rules.select(
         F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("path").alias("n")
     )
     lengths = [r.n for r in listed.select("n").distinct().orderBy("n").collect()]  # at most one for each path length
+    depths = [r.d for r in rules.select(F.size(F.split("host", r"\.", -1)).alias("d")).distinct().orderBy("d").collect()]
     listed = listed.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, 8))
 
     split = pages.select(
         F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
     places = split.select("host", "path").distinct().where("host <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    labels = F.size(F.split("host", r"\.", -1))
+    suffixes = F.array_compact(F.array(*(F.when(labels >= d, F.substring_index("host", ".", -d)) for d in depths)).cast("array<string>"))
     prefixes = F.transform(
         F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),
