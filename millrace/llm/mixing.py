@@ -100,20 +100,22 @@ def mix_documents(docs: DataFrame, seed: str = "", id_col: str = "doc_id", sourc
     """The mixture itself: ``docs`` with each row as often as whole documents of its source are taken.
 
     The plan comes down to one row for each source (its epochs and its last key), so the documents are neither
-    sorted nor moved. Rows at the last key are all taken. Columns are those of ``docs``.
+    sorted nor moved. Rows at the last key, as rows of one id are, are all taken. Columns are those of ``docs``,
+    whatever their names; a null source is a source of its own, and null texts and ids are taken like others. An empty
+    table gives an empty one.
     """
     plan = spool(mix_plan(docs, seed=seed, whole=True, id_col=id_col, source_col=source_col, **how), "mix-plan")
-    cuts = plan.groupBy(F.col("source").alias("_of")).agg(
-        F.max("epochs").alias("_epochs"), F.max(F.when(F.col("extra") > 0, F.col("key"))).alias("_last")
-    )
+    cuts = plan.groupBy(F.col("source").alias("of")).agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra") > 0, F.col("key"))).alias("last"))
     cuts = spool(cuts, "cuts")
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
-    copies = F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    field = F.col("doc").getField
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(field(id_col).cast("string"), F.lit(""))))
+    copies = F.col("epochs") + F.when(key <= F.col("last"), 1).otherwise(0)
     return (
-        docs.join(cuts, docs[source_col].eqNullSafe(F.col("_of")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
-        .where("_copy > 0")
-        .select(*(docs[c] for c in docs.columns))
+        whole.join(cuts, field(source_col).eqNullSafe(F.col("of")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
+        .where("copy > 0")
+        .select(*(field(c).alias(c) for c in docs.columns))
     )
