@@ -205,15 +205,40 @@ def test_simhash_against_all_pairs(spark, odd):
 
 def test_split_shards_link_the_same(spark):
     rng = np.random.default_rng(1)
-    values = {int(rng.integers(0, 1 << 10)) | 1 << 40 for _ in range(300)}
-    rows = [(v.to_bytes(8, "little"), simhash.block_keys(v.to_bytes(8, "little"))) for v in sorted(values)]
-    prints = spark.createDataFrame(rows, "fp binary, keys array<long>")
-    roots = [
-        {bytes(r.node): bytes(r.root) for r in components.components(simhash.near_links(prints, 2, unit)).collect()} for unit in (25, 1000)
-    ]
+    values = sorted({int(rng.integers(0, 1 << 10)) | 1 << 40 for _ in range(300)})
+    prints = spark.createDataFrame([(v,) for v in values], "fp long").withColumn("keys", simhash.block_keys(F.col("fp"), 2))
+    roots = [{r.node: r.root for r in components.components(simhash.near_links(prints, 2, unit)).collect()} for unit in (25, 1000)]
     assert roots[0] == roots[1] and len(roots[0]) > 200
 
 
+def test_block_keys_miss_no_pair_within_the_radius(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        v = int(rng.integers(-(1 << 63), 1 << 63))
+        bits = rng.choice(64, 2, replace=False)
+        w = (v & (1 << 64) - 1) ^ (1 << int(bits[0])) ^ (1 << int(bits[1]))
+        rows.append((i, v, w - (1 << 64) if w >> 63 else w))
+    df = spark.createDataFrame(rows, "i int, v long, w long")
+    assert df.where(F.arrays_overlap(simhash.block_keys(F.col("v")), simhash.block_keys(F.col("w")))).count() == 200
+
+
+def test_join_spread_gives_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECES", 8)
+    many = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(400)] + [(None, -1)], "k int, i int")
+    one = many.where("k is not null and k <> 5").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m"))
+    for how in ("inner", "left"):
+        got = common.join_spread(many, common.spool(one, "one"), ["k"], "n", ["i"], how).select("k", "i", "n", "m")
+        want = many.join(one, "k", how).select("k", "i", "n", "m")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_components_of_stars_and_chains(spark):
+    links = [(1, i) for i in range(2, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(399, 5000), (7, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys([*range(1, 400), 5000], 1) | dict.fromkeys(range(1000, 1061), 1000)
+
+
 def test_bk_tree():
     rng = np.random.default_rng(0)
     words = np.unique(rng.integers(0, 1 << 14, 500).astype(np.uint64)).reshape(-1, 1)
@@ -265,28 +290,108 @@ def test_near_copies_against_all_pairs(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100] + [word(10**6 + 1000 * i + k) for k in range(changed)] + words[100 + changed :]))]
     for i in range(60):  # sets of 4 and 5 shingles
         rows += [(1000 + 2 * i, prose(5 * 10**6 + 100 * i, 8)), (1001 + 2 * i, prose(5 * 10**6 + 100 * i, 9))]
-    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == stays(rows)
+    for i in range(240):  # a crowd of texts around two bases, which one text between them may join
+        words = [word(7 * 10**6 + k) for k in range(200)]
+        words[:50] = [word(8 * 10**6 + k) for k in range(50)] if i % 2 else words[:50]
+        for k in range(i % 5):
+            words[60 + 25 * k + i % 20] = f"x{i}"
+        rows.append((2000 + i, " ".join(words)))
+    for unit in (1000, 30):
+        got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), unit=unit)
+        assert sorted(r.doc_id for r in got.collect()) == stays(rows)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == stays([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def near_runs(a, b, run=46):
+    """Where a's runs of shingles begin of which 0.8 or more stand in one run of b, over all pairs of runs."""
+    out = set()
+    a, b = (np.array([hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)]) for t in (a, b))
+    if min(len(a), len(b)) < run:
+        return out
+    same = a[:, None] == b[None, :]
+    for j in range(len(b) - run + 1):
+        m = np.concatenate([[0], np.cumsum(same[:, j : j + run].any(axis=1))])
+        m = m[run:] - m[:-run]
+        for i in np.flatnonzero(m / (2 * run - m) >= 0.8).tolist():
+            out.add(i)
+    return out
+
+
+def passage_cases():
+    """Texts with shared passages: whole, edited, moved, several times in one text, and phrases too short to count."""
+    rng = np.random.default_rng(5)
+    shared = [[word(10**7 + 1000 * p + k) for k in range(70)] for p in range(6)]
+    phrase = [word(2 * 10**7 + k) for k in range(22)]
+    texts = []
+    for i in range(60):
+        own = [word(10**6 * 3 + 1000 * i + k) for k in range(150)]
+        part = list(shared[i % 6])
+        kind = i // 6 % 5
+        if kind == 1:
+            part[int(rng.integers(70))] = f"edit{i}"
+        elif kind == 2:
+            at = int(rng.integers(70))
+            part = part[:at] + part[at + 1 :]
+        elif kind == 3:
+            part = part[: int(rng.integers(30, 70))]
+        elif kind == 4:
+            part = part + own[:20] + part + [f"twice{i}"]
+        at = int(rng.integers(20, 130))
+        texts.append(own[:at] + (phrase if i % 3 else []) + own[:5] + part + own[at:])
+    # a leads where the phrase is all that is shared; b and c share what lies around it
+    texts += [phrase + [word(4 * 10**7 + k) for k in range(60)]]
+    texts += [[word(5 * 10**7 + k) for k in range(30)] + phrase + [word(6 * 10**7 + k) for k in range(30 + n)] for n in range(3)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def check_passages(rows, found):
+    words = {i: t.encode().decode().split() for i, t in rows}
+    linked, joined = {}, {}
+    for r in found:
+        assert r.end - r.start >= 50 and r.similarity >= 0.8 and r.doc_id != r.of_doc_id
+        linked.setdefault(r.doc_id, set()).update(range(r.start, r.end - 4))
+        a, b = joined.setdefault(r.doc_id, {r.doc_id}), joined.setdefault(r.of_doc_id, {r.of_doc_id})
+        if a is not b:
+            a |= b
+            for x in b:
+                joined[x] = a
+    runs = wrong = 0
+    for i, a in words.items():
+        want = set()
+        for j, b in words.items():
+            if i != j and (near := near_runs(a, b)):
+                want |= near
+                assert j in joined.get(i, ()), (i, j)
+        runs += len(want)
+        wrong += len(linked.get(i, set()) - {k + n for k in want for n in range(46)})
+        for k in want:  # the passage given may stop short of what another text shares of it
+            assert len(linked.get(i, set()) & set(range(k, k + 46))) >= 23, (i, k)
+    return runs, wrong
+
+
+def test_passages_against_all_pairs_of_runs(spark):
+    rows = passage_cases()
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    runs, wrong = check_passages(rows, found)
+    assert runs > 1000 and wrong == 0
+
+
 def test_passages(spark, odd):
     shared = prose(10_000, 60)
-    edited = shared.split()
-    edited[30] = "else"
     rows = [
         (1, prose(0, 80) + " " + shared + " " + prose(100, 90)), (2, prose(300, 200) + " " + shared), (3, prose(600, 200)),
-        (4, shared.rsplit(" ", 25)[0] + " " + prose(2000, 100)), (5, prose(3000, 70) + " " + " ".join(edited)), (6, prose(600, 200)),
+        (4, shared.rsplit(" ", 25)[0] + " " + prose(2000, 100)), (6, prose(600, 200)), (7, prose(600, 200)), (8, shared + " " + shared),
     ]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {frozenset((r.doc_id, r.of_doc_id)) for r in found} >= {frozenset((1, 2)), frozenset((3, 6))}
+    got = {(r.doc_id, r.start, r.end) for r in found}
+    assert {(6, 0, 200), (7, 0, 200)} <= got and {r.of_doc_id for r in found if r.doc_id in (6, 7)} == {3}
+    assert {w for r in found if r.doc_id == 8 for w in range(r.start, r.end)} == set(range(120))
+    assert any(r.doc_id == 2 and r.start <= 200 and r.end == 260 for r in found) and any(r.doc_id == 1 and r.start <= 80 and r.end >= 140 for r in found)
     assert 4 not in {r.doc_id for r in found} | {r.of_doc_id for r in found}
-    for r in found:
-        if {r.doc_id, r.of_doc_id} == {1, 2}:
-            text = dict(rows)[r.doc_id].split()
-            assert set(shared.split()) <= set(text[r.start : r.end]) or r.similarity < 1 or r.end - r.start >= 50
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} <= {1, 2, 8, None}
+    cut = {r.doc_id: r.text for r in passages.cut_passages(spark.createDataFrame([(*r, "x", [1]) for r in [*rows, (9, None)]], "doc_id long, text string, of string, words array<int>"), spark.createDataFrame(found)).collect()}
+    assert cut[6] == "" and cut[9] is None and cut[4] == dict(rows)[4] and prose(300, 200).startswith(cut[2]) and len(cut[2].split()) >= 194
 
 
 def test_compact_windows_cover_every_run():
@@ -332,18 +437,50 @@ def test_langid_held_out(spark, odd):
     assert got[3] == got[4] == got[6] == "und" and got[5] != "und"
 
 
+def plain_top(rows, k=5):
+    """Rows (id, integers) by rows: the others of each by exact score, then by id, null last."""
+    width = max(len(v) for _, v in rows)
+    rows = [(i, [*v, *[0] * (width - len(v))]) for i, v in rows]
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            others = ((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for m, (i, w) in enumerate(rows) if m != n)
+            out += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(others)[:k])]
+    return sorted(map(repr, out))
+
+
+def tops(df, **how):
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, **how).collect()
+    return sorted(repr((r.query_id, r["rank"], r.vec_id, r.score)) for r in got)
+
+
+def floors(vectors):
+    return [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+
+
 def test_topk_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(260)] + [(1000 + i, [0.5] * 8) for i in range(40)]
-    vectors += [(2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 3), (None, [1.0] * 8), (1000, [0.5] * 8)]
+    vectors += [(2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 3), (2050, [1.0] * 5), (2100, []), (None, [1.0] * 8)]
+    vectors += [(1000, [0.5] * 8), (1000, [-0.5] * 8), (50, [0.25] * 8), (50, [0.25] * 8), (None, [0.5] * 8), (None, [0.5] * 8)]
+    df = spark.createDataFrame([(*v, 1, 1.0, "x") for v in vectors], "vec_id long, embedding array<double>, block int, score double, query string")
+    assert tops(df, block=32, sample=20, pivots=4, query_block=3) == plain_top(floors(vectors))
+    assert tops(df.limit(3)) == plain_top(floors([tuple(r)[:2] for r in df.limit(3).collect()]))
+
+
+@pytest.mark.parametrize("size", [1e6, 5e6])
+def test_topk_is_exact_beyond_floats(spark, size):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.uniform(-size, size, 4)]) for i in range(120)]
+    vectors += [(1000 + i, [size, size, size, size - i / 256]) for i in range(30)]  # scores that differ in the last digits
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=32, sample=20, pivots=4, query_block=3).collect()
-    ok = {i: np.floor(256 * np.array(v)) for i, v in vectors if i is not None and i < 2000}
-    want = []
-    for q in (i for i in ok if i % 50 == 0):
-        best = sorted((-int(ok[q] @ v), i) for i, v in ok.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert tops(df, block=16, sample=20, pivots=4) == plain_top(floors(vectors))
+
+
+@pytest.mark.parametrize("size", [1e8, 1e30])
+def test_topk_names_scores_that_fit_no_long(spark, size):
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [size] * 4)], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 def plain_stats(text):
