@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,24 +44,38 @@ def luhn_valid(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def _nfc(text: Column) -> Column:
+    """Canonical composition, which Spark has no function for; a batch at a time."""
+
+    def composed(rows: pd.Series) -> pd.Series:
+        return rows.str.normalize("NFC")
+
+    return F.pandas_udf(composed, "string")(text)
+
+
 def clean_text(text: Column) -> Column:
-    """Line ends, control and invisible characters, private-use characters, full-width forms, trailing and doubled
-    space, blank lines, in this order."""
+    """Line ends, control characters, canonical composition, invisible and private-use characters, lines that are a
+    marker only (page, image), full-width forms, spaces between CJK signs, trailing space, blank lines, in this order."""
+    # The characters that each step takes.
     full = "".join(map(chr, range(0xFF01, 0xFF5F))) + chr(0x3000)
     half = "".join(map(chr, range(0x21, 0x7F))) + " "
-    steps = [
-        (r"\r\n?", "\n"),
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
+    cjk = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
+    first = [(r"\r\n?", "\n"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")]
+    then = [
         (r"[\x{FEFF}\x{200B}-\x{200F}\x{00AD}\x{2060}]", ""),
         (r"[\x{2028}\x{2029}]", "\n"),
         (r"[\x{2009}\x{200A}\x{00A0}]", " "),
         (r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]", ""),
+        (r"(?m)^[ \t]*<!--[^\n]*-->[ \t]*$", ""),
     ]
-    for pattern, by in steps:
+    last = [(f"(?<={cjk}) (?={cjk})", ""), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n")]
+    for pattern, by in first:
+        text = F.regexp_replace(text, pattern, by)
+    text = _nfc(text)
+    for pattern, by in then:
         text = F.regexp_replace(text, pattern, by)
     text = F.translate(text, full, half)
-    cjk = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
-    for pattern, by in ((f"(?<={cjk}) (?={cjk})", ""), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n")):
+    for pattern, by in last:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(text)
 

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import STOP_WORDS, token_bucket, tokens
-from millrace.functions.vectors import cosine
+from millrace.functions.text import STOP_WORDS, TOKEN, token_bucket, tokens
+from millrace.operators import search
+from millrace.sources.written import spool
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Dimensions of the hashed bag of words.
+DIMENSIONS = 4096
 
 
 @dataclass(frozen=True)
 class RetrievalFilter:
-    """None leaves a field open; an empty set lets nothing through."""
+    """None leaves a field open; an empty set lets nothing through. ``columns`` maps fields to a table's columns."""
 
     years: frozenset[int] | None = None
     document_ids: frozenset[int] | None = None
@@ -25,14 +32,12 @@ class RetrievalFilter:
     source_types: frozenset[str] | None = None
     kb_ids: frozenset[str] | None = None
 
-    COLUMNS = {"years": "year", "document_ids": "doc_id", "section_names": "section", "source_types": "source_type", "kb_ids": "kb_id"}
-
-    def predicate(self) -> Column:
-        out = F.lit(True)
-        for f in fields(self):
-            if (wanted := getattr(self, f.name)) is not None:
-                out = out & F.col(self.COLUMNS[f.name]).isin(*sorted(wanted))
-        return out
+    def predicate(self, **columns: str) -> Column:
+        names = {"document_ids": "doc_id", "kb_ids": "kb_id"} | columns
+        wanted = {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        if missing := sorted(set(wanted) - set(names)):
+            raise ValueError(f"no column is named for {missing}")
+        return reduce(Column.__and__, (F.col(names[f]).isin(*sorted(values)) for f, values in wanted.items()), F.lit(True))
 
 
 def acl_predicate(roles: list[int], user: int | None, read_all: bool = False) -> Column:
@@ -54,30 +59,92 @@ def query_terms(queries: DataFrame, stop: bool) -> DataFrame:
     return terms.where(~F.col("term").isin(STOP_WORDS)) if stop else terms
 
 
-def bm25(docs: DataFrame, queries: DataFrame, stop: bool = True) -> DataFrame:
-    """query_id, doc_id, score for all that share a term. Only terms that a query has are kept of a document."""
-    terms = query_terms(queries, stop)
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    stats = words.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
-    wanted = terms.select("term").distinct()
-    tf = words.select("doc_id", "n", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats))  # a single row
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return weighted.withColumn("part", part).join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-
+def _vocabulary(block: pd.DataFrame, stop: bool) -> tuple[list[str], list[list[str]]]:
+    """All distinct terms of a block of queries (query_id, words), and those of each query."""
+    left_out = set(STOP_WORDS) if stop else set()
+    asked = [[t for t in dict.fromkeys(words if words is not None else []) if t not in left_out] for words in block["words"]]
+    return sorted({t for terms in asked for t in terms}), asked
 
-def bag_of_words(df: DataFrame, id_col: str) -> DataFrame:
-    """id, dim, w: token counts over 4096 hashed dimensions, of unit length."""
-    counts = df.select(id_col, F.explode(tokens(F.col("text"))).alias("t")).groupBy(id_col, token_bucket(F.col("t")).alias("dim")).agg(F.count("*").alias("c"))
-    length = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "dim", (F.col("c") / length).alias("w"))
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, stop: bool = True, at_once: int = 256) -> DataFrame:
+    """query_id, doc_id, score, rank of the ``k`` best documents of each query that share a term with it.
 
-def bow_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    d, q = bag_of_words(docs, "doc_id"), bag_of_words(queries, "query_id").withColumnRenamed("w", "wq")
-    return d.join(q, "dim").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    For each block of queries the texts are read once: a task keeps a document's length and its counts of the block's
+    terms, one short row a document. Document frequencies, the mean length and all scores come from these rows.
+    """
+    worded = queries.select("query_id", tokens(F.col("text")).alias("words"))
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for block in search.blocks(worded, at_once):
+        names, asked = _vocabulary(block, stop)
+        sent = docs.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(lists.flatten(), sent.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(b.num_rows), size)[term >= 0]
+                key, n = np.unique(row * (len(sent.value) + 1) + term[term >= 0], return_counts=True)
+                row, term = key // (len(sent.value) + 1), key % (len(sent.value) + 1)
+                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), *lists], ["doc_id", "n", "terms", "tf"])
+
+        rows = spool(words.mapInArrow(count, f"doc_id {kind}, n bigint, terms array<int>, tf array<int>"), "bm25-counts")
+        stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+        df = {r.term: r.df for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
+        at = {t: i for i, t in enumerate(names)}
+        weights = np.zeros((len(names), len(block)))
+        for j, terms in enumerate(asked):
+            for i in map(at.__getitem__, terms):
+                weights[i, j] = np.log(1 + (stats.docs - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5))
+        weigh = partial(_saturated, mean=stats.mean or 1.0)
+        found = search.top_in_blocks(rows, iter([(block["query_id"].tolist(), weights)]), search.weight_scores(weigh), k)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], f"query_id long, doc_id {kind}, score double, rank int") if out is None else out
+
+
+def _saturated(tf: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+
+
+def hashed_words(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and dims: the hashed dimension of each token, repeats included; null texts have none."""
+    dims = F.transform(tokens(F.coalesce("text", F.lit(""))), token_bucket)
+    return df.select(*keep, dims.alias("dims"))
+
+
+def bow_cosine(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", group: str | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank of the ``k`` best documents of each query (and group) by the cosine of their
+    hashed bags of words; documents without a dimension in common are left out."""
+
+    def vectors():
+        for block in search.blocks(hashed_words(queries, "query_id")):
+            unit = np.zeros((DIMENSIONS, len(block)))
+            query, dim, weight = search.unit_counts(pa.array(block["dims"].tolist(), pa.list_(pa.int32())), DIMENSIONS)
+            unit[dim, query] = weight
+            yield block["query_id"].tolist(), unit
+
+    return search.top_in_blocks(hashed_words(docs, id_col, *([group] if group else [])), vectors(), search.count_scores(DIMENSIONS), k, id_col, group)
+
+
+def questions(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, position, text of the questions that a document answers; here its first ``most`` lines of three tokens or more."""
+    lines = F.filter(F.split("text", "\n", -1), lambda line: F.regexp_count(F.lower(line), F.lit(TOKEN)) >= 3)
+    return docs.select("doc_id", F.posexplode(F.slice(lines, 1, most)).alias("position", "text"))
+
+
+def question_channel(asked: DataFrame, queries: DataFrame, k: int, most: int = 3) -> DataFrame:
+    """query_id, doc_id, score, rank: documents by the nearest of their questions (doc_id, position, text).
+
+    No document has more than ``most`` questions, so the ``k`` best documents are among the k * ``most`` best questions.
+    """
+    keyed = asked.withColumn("question", F.col("doc_id") * most + F.col("position"))  # of equal scores the smaller id's come first
+    near = bow_cosine(keyed, queries, k * most, "question")
+    best = near.join(keyed.select("question", "doc_id"), "question").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return top(best, k).select("query_id", "doc_id", "score", "rank")
 
 
 def rrf(channels: list[tuple[DataFrame, float]], k: int, by: str = "query_id") -> DataFrame:
@@ -90,29 +157,41 @@ def rrf(channels: list[tuple[DataFrame, float]], k: int, by: str = "query_id") -
     return top(fused, k, by)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 20) -> DataFrame:
-    return rrf([(top(bow_cosine(docs, queries), fetch), 1.0), (top(bm25(docs, queries), fetch), 1.0)], k)
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 20, question_weight: float = 0.15) -> DataFrame:
+    """Vector, lexical and question channel fused; weights 1, 1 and ``question_weight``."""
+    channels = [(bow_cosine(docs, queries, fetch), 1.0), (bm25(docs, queries, fetch), 1.0)]
+    return rrf([*channels, (question_channel(questions(docs), queries, fetch), question_weight)], k)
 
 
 def with_fallback(found: DataFrame, relaxed: DataFrame, k: int) -> DataFrame:
-    """Queries with fewer than ``k`` hits get the unseen hits of the relaxed channel at half weight, its ranks
-    counted anew among them."""
-    short = found.groupBy("query_id").count().where(F.col("count") < k).select("query_id")
-    unseen = relaxed.join(short, "query_id", "left_semi").join(found, ["query_id", "doc_id"], "left_anti").drop("rank")
+    """Queries with fewer than ``k`` hits, none included, get the unseen hits of the relaxed channel at half weight,
+    its ranks counted anew among them. ``relaxed`` has the 2 * ``k`` best of each query or more."""
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    unseen = relaxed.join(full, "query_id", "left_anti").join(found, ["query_id", "doc_id"], "left_anti").drop("rank")
     extra = top(unseen, k).select("query_id", "doc_id", F.round(0.5 / (RRF_K + F.col("rank")), 8).alias("score"))
     return top(found.select("query_id", "doc_id", "score").unionByName(extra), k)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated set of queries (query_id, qv) against all rows (vec_id, v)."""
-    scored = vectors.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("v"), F.col("qv")), 6).alias("score"))
-    return top(scored, k, id_col="vec_id")
+def merged(ranked: DataFrame, k: int, group: str = "kb_id") -> DataFrame:
+    """One list a query of lists per ``group`` (query_id, doc_id, group, score): the first group's row of a document
+    stands, then the best come first."""
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(group, F.desc("score")))
+    return top(ranked.withColumn("first", first).where("first = 1").drop("first"), k)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """Exact cosine top-k of a stated set of queries (query_id, qv) against all other rows (vec_id, v)."""
+    blocks = ((b["query_id"].tolist(), (np.array(b["qv"].tolist(), float), b["query_id"].to_numpy(np.int64))) for b in search.blocks(queries))
+    keep = ["vec_id", "v", *([group] if group else [])]
+    return search.top_in_blocks(vectors.select(*keep), blocks, search.cosine_scores("v", "vec_id"), k, "vec_id", group)
 
 
-def mmr(hits: DataFrame, keep: int = 5, balance: float = 0.7) -> DataFrame:
+def mmr(hits: DataFrame, keep: int = 5, balance: float = 0.7, group: str | None = None, most: int = 2, penalty: float = 0.1) -> DataFrame:
     """Maximal marginal relevance over (query_id, vec_id, score, v), few candidates a query: the picks in order.
 
-    Relevance is min-max scaled within the query, 1 where all are equal; ties go to the earlier candidate."""
+    Relevance is min-max scaled within the query, 1 where all are equal; ties go to the earlier candidate. With a
+    ``group`` column a candidate whose group has been picked ``most`` times or more loses ``penalty`` for each pick
+    from that number on."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)
@@ -121,16 +200,21 @@ def mmr(hits: DataFrame, keep: int = 5, balance: float = 0.7) -> DataFrame:
         x = np.array(rows["v"].tolist(), float)
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        of = rows["_group"].to_numpy()
+        near, taken = np.zeros(len(s)), np.zeros(len(s))
         chosen: list[int] = []
         while len(chosen) < min(keep, len(s)):
-            near = (x @ x[chosen].T).max(axis=1) if chosen else np.zeros(len(s))
-            gain = balance * rel - (1 - balance) * near
+            gain = balance * rel - (1 - balance) * near - penalty * np.maximum(0, taken - most + 1) * (group is not None)
             gain[chosen] = -np.inf
-            chosen.append(int(gain.argmax()))
+            best = int(np.round(gain, 9).argmax())
+            near = x @ x[best] if not chosen else np.maximum(near, x @ x[best])
+            taken = taken + (of == of[best])
+            chosen.append(best)
         out = rows.loc[chosen, ["query_id", "vec_id", "score"]]
         return out.assign(pick=range(1, len(chosen) + 1))
 
-    return hits.select("query_id", "vec_id", "score", "v").groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, score double, pick int")
+    rows = hits.select("query_id", "vec_id", "score", "v", (F.col(group) if group else F.lit(0)).alias("_group"))
+    return rows.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, score double, pick int")
 
 
 def diverse(hits: DataFrame, most: int, group: str) -> DataFrame:
@@ -144,18 +228,39 @@ def diverse(hits: DataFrame, most: int, group: str) -> DataFrame:
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     """query_id and doc_id where the document's text contains the item's text; null texts contain nothing.
 
-    An item's longest inner word, which a document that contains the item has as a word too, finds the candidates by
-    an equi-join; containment decides. Items of fewer than three words have no inner word and are held against all
-    documents.
+    A task reads its documents once for each block of items. An item's longest inner word, which a document that
+    contains the item has as a word too, finds the candidates among a document's words; containment decides. Items of
+    fewer than three words have no inner word and are held against every text of the task.
     """
-    parts = F.split("text", " ", -1)
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.length(w) > 0)
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = items.where("text is not null").select("query_id", "text", longest.alias("word"))
-    bodies = docs.where("text is not null").select("doc_id", F.col("text").alias("body"))
-    anchors = items.where("word is not null")
-    words = bodies.select("doc_id", F.explode(F.array_distinct(F.split("body", " ", -1))).alias("word"))
-    near = words.join(anchors, "word").select("doc_id", "query_id", "text")
-    found = near.join(bodies, "doc_id").where(F.contains("body", "text")).select("query_id", "doc_id")
-    short = items.where("word is null").join(bodies, F.contains("body", "text")).select("query_id", "doc_id")
-    return found.unionByName(short).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.sparkSession.createDataFrame([], f"query_id long, doc_id {kind}")
+    for block in search.blocks(items.where("text is not null").select("query_id", "text")):
+        inner = [max(t.split(" ")[1:-1], key=len, default="") for t in block["text"]]
+        anchors = sorted({w for w in inner if w})
+        held: dict[str, list[int]] = {}
+        for i, w in enumerate(inner):
+            held.setdefault(w, []).append(i)
+        sent = docs.sparkSession.sparkContext.broadcast((block["query_id"].tolist(), block["text"].tolist(), pa.array(anchors, pa.string()), held))
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, texts, anchors, held = sent.value
+            short = held.get("", [])
+            for b in batches:
+                words = pc.split_pattern(b.column(1), " ")
+                at = pc.fill_null(pc.index_in(words.flatten(), anchors), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+                pairs = np.unique(row[at >= 0] * max(1, len(anchors)) + at[at >= 0])
+                found = []
+                for i, a in zip((pairs // max(1, len(anchors))).tolist(), (pairs % max(1, len(anchors))).tolist(), strict=True):
+                    body = b.column(1)[i].as_py()
+                    found += [(ids[n], i) for n in held[anchors[a].as_py()] if texts[n] in body]
+                for i in range(b.num_rows if short else 0):
+                    body = b.column(1)[i].as_py()
+                    found += [(ids[n], i) for n in short if texts[n] in body]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.int64()), b.column(0).take(pa.array([f[1] for f in found], pa.int64()))], ["query_id", "doc_id"]
+                )
+
+        bodies = docs.where("text is not null").select("doc_id", "text")
+        out = out.unionByName(bodies.mapInArrow(find, f"query_id bigint, doc_id {kind}"))
+    return out.distinct()

@@ -41,9 +41,19 @@ def _top(name: str, of: str, k: int, id_col: str = "doc_id") -> str:
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {id_col})::INT AS rank FROM {of}) WHERE rank <= {k})"""
 
 
-_HYBRID = f"""WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_bow('bow', 'corpus')}, {_top('lex_top', 'lex', 20)}, {_top('bow_top', 'bow', 20)},
-fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score
-  FROM (SELECT * FROM lex_top UNION ALL SELECT * FROM bow_top) GROUP BY ALL), {_top('found', 'fused', 10)}"""
+_QUESTIONS = f"""lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+')) >= 3)[1:3] AS ls FROM corpus),
+questions AS (SELECT doc_id AS of_doc, unnest(ls) AS text, unnest(range(len(ls))) AS position FROM lines),
+{_bow('near', '(SELECT of_doc * 3 + position AS doc_id, text FROM questions)')},
+by_question AS (SELECT query_id, of_doc AS doc_id, max(score) AS score FROM near JOIN questions ON near.doc_id = of_doc * 3 + position GROUP BY ALL), {_top('asked_top', 'by_question', 20)}"""
+
+
+def _fused(name: str, weight: float) -> str:
+    return f"""{name} AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 8) AS score
+  FROM (SELECT *, 1.0::DOUBLE AS w FROM lex_top UNION ALL SELECT *, 1.0::DOUBLE FROM bow_top UNION ALL SELECT *, {weight}::DOUBLE FROM asked_top) GROUP BY ALL)"""
+
+
+_HYBRID = f"""WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_bow('bow', 'corpus')}, {_QUESTIONS}, {_top('lex_top', 'lex', 20)}, {_top('bow_top', 'bow', 20)},
+{_fused('fused', 0.15)}, {_top('found', 'fused', 10)}"""
 _COSINE = "list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0)"
 _PAIRS = f"""WITH vs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(coalesce({_COSINE}, 0), 6) AS score
@@ -55,10 +65,17 @@ _ENTITIES = f"""WITH ents AS (SELECT doc_id, entity, freq FROM (
 _RELATIONS = f"""{_ENTITIES}, df AS (SELECT entity, count(DISTINCT doc_id) AS df FROM ents GROUP BY entity),
 w AS (SELECT doc_id, entity, df, freq * (ln((1 + (SELECT count(DISTINCT doc_id) FROM ents))::DOUBLE / (1 + df)) + 1) AS w FROM ents JOIN df USING (entity)),
 norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, count(*) AS size FROM w GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS source, b.doc_id AS target, sum(a.w * b.w) AS d, count(*) AS n FROM w a JOIN w b ON a.entity = b.entity AND a.doc_id < b.doc_id WHERE a.df <= 20 GROUP BY ALL),
+shared AS (SELECT a.doc_id AS source, b.doc_id AS target, sum(a.w * b.w) AS d, count(*) AS n FROM w a JOIN w b ON a.entity = b.entity AND a.doc_id <> b.doc_id
+  WHERE a.doc_id % 20 = 0 AND (b.doc_id % 20 <> 0 OR a.doc_id < b.doc_id) GROUP BY ALL),
 r AS (SELECT source, target, round(d / (x.norm * y.norm), 6) AS cosine, round(n::DOUBLE / (x.size + y.size - n), 6) AS jaccard
   FROM shared JOIN norms x ON x.doc_id = source JOIN norms y ON y.doc_id = target),
-rels AS (SELECT *, CASE WHEN cosine < 0.3 THEN 'unknown' WHEN jaccard >= 0.5 THEN 'duplicate' ELSE 'complementary' END AS relation FROM r)"""
+rels AS (SELECT *, CASE WHEN jaccard >= 0.5 THEN 'duplicate' ELSE 'complementary' END AS relation FROM r WHERE cosine >= 0.3)"""
+#: Text columns of the star tables.
+TEXTS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"],
+}
+_ENUMS = " UNION ".join(f"SELECT '{c}' AS col, {c} AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in TEXTS.items() for c in cs)
 _SALES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _AMOUNT = "l_extendedprice * (1 - l_discount)"
 _PLACED = f"{_SALES} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -93,14 +110,18 @@ ORACLES = {
     "lexical_bm25_topk": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "lexical_relaxed": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', False)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "bow_cosine_topk": f"WITH {_CORPUS}, {_bow('bow', 'corpus')}, {_top('t', 'bow', 20)} SELECT * FROM t",
+    "question_topk": f"WITH {_CORPUS}, {_QUESTIONS} SELECT * FROM asked_top",
+    "scoped_search": f"WITH {_CORPUS}, scoped AS (SELECT * FROM corpus WHERE lang IN ('en', 'de') AND kb_id IN ('src0', 'src1', 'src2', 'src3') AND doc_id < 5000 AND doc_id % 2 = 0), {_bow('bow', 'scoped')}, {_top('t', 'bow', 10)} SELECT * FROM t",
     "hybrid_rrf": f"{_HYBRID} SELECT * FROM found",
     "acl_filtered_search": f"WITH {_CORPUS}, seen AS (SELECT * FROM corpus WHERE {_SEEN.format(roles='1, 2', owner='owner = 3')}), {_bow('bow', 'seen')}, {_top('t', 'bow', 10)} SELECT * FROM t",
     "hybrid_rrf_fallback": f"""WITH {_CORPUS}, kb AS (SELECT * FROM corpus WHERE kb_id = 'src1'), {_bm25('lex', 'kb', True)}, {_bm25('wide', 'kb', False)}, {_top('t', 'lex', 10)},
-short AS (SELECT query_id FROM t GROUP BY query_id HAVING count(*) < 10),
-unseen AS (SELECT * FROM wide WHERE query_id IN (FROM short) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM t)), {_top('extra', 'unseen', 10)},
+enough AS (SELECT query_id FROM t GROUP BY query_id HAVING count(*) >= 10),
+unseen AS (SELECT * FROM wide WHERE query_id NOT IN (FROM enough) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM t)), {_top('extra', 'unseen', 10)},
 every AS (SELECT query_id, doc_id, score FROM t UNION ALL SELECT query_id, doc_id, round(0.5::DOUBLE / (60 + rank), 8) FROM extra), {_top('final', 'every', 10)} SELECT * FROM final""",
     "fusion_per_kb": f"""WITH {_CORPUS}, {_bow('bow', 'corpus')}, r AS (SELECT query_id, kb_id, doc_id, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, doc_id) AS rank
-  FROM bow JOIN corpus USING (doc_id)) SELECT query_id, kb_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8) AS score FROM r WHERE rank <= 5""",
+  FROM bow JOIN corpus USING (doc_id)), five AS (SELECT query_id, kb_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8) AS score FROM r WHERE rank <= 5),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM five
+  QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY kb_id, score DESC) = 1) SELECT query_id, kb_id, doc_id, score, rank FROM m WHERE rank <= 30""",
     "per_doc_diverse": f"""WITH {_CORPUS}, {_bow('bow', 'corpus')}, {_top('t', 'bow', 20)},
 g AS (SELECT t.query_id, t.doc_id, kb_id, rank, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY rank) > 1 AS again FROM t JOIN corpus USING (doc_id)),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY again, rank)::INT AS place FROM g) SELECT query_id, doc_id, kb_id, place FROM p WHERE place <= 5""",
@@ -155,11 +176,16 @@ SELECT item_id AS query_id, coalesce(hit5, 0)::INT AS hit5, (coalesce(got, 0) >
     "eval_latency_pctl": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(value) FILTER (i = floor(0.5::DOUBLE * n)) AS p50, max(value) FILTER (i = floor(0.95::DOUBLE * n)) AS p95 FROM r GROUP BY event_type""",
     "score_by_category": "SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(quality), 6) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang",
-    "eval_transitions": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
-    "introspect_enums": """WITH v AS (SELECT DISTINCT 'c_mktsegment' AS col, c_mktsegment AS value FROM customer UNION SELECT 'o_orderstatus', o_orderstatus FROM orders UNION SELECT 'p_name', p_name FROM part)
-SELECT col, value FROM v WHERE col IN (SELECT col FROM v GROUP BY col HAVING count(*) <= 20)""",
-    "progress_throttle": """WITH b AS (SELECT event_id, user_id, floor(value / 5)::BIGINT AS bucket, lag(floor(value / 5)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
-SELECT event_id, user_id, bucket FROM b WHERE last IS NULL OR last <> bucket""",
+    "eval_transitions": f"""{_HYBRID}, {_fused('plain', 0.0)}, {_top('found_off', 'plain', 10)},
+gold AS (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+off AS (SELECT query_id, min(rank) AS off FROM found_off JOIN gold USING (query_id, doc_id) GROUP BY ALL),
+lit AS (SELECT query_id, min(rank) AS lit FROM found JOIN gold USING (query_id, doc_id) GROUP BY ALL),
+cells AS (SELECT CASE WHEN off = 1 THEN 'first' WHEN off IS NOT NULL THEN 'found' ELSE 'missed' END AS before,
+  CASE WHEN lit = 1 THEN 'first' WHEN lit IS NOT NULL THEN 'found' ELSE 'missed' END AS after FROM benchmark LEFT JOIN off ON off.query_id = item_id LEFT JOIN lit ON lit.query_id = item_id)
+SELECT before, after, count(*) AS n FROM cells GROUP BY ALL""",
+    "introspect_enums": f"""WITH v AS ({_ENUMS}) SELECT col, value FROM v WHERE col IN (SELECT col FROM v GROUP BY col HAVING count(*) <= 20)""",
+    "progress_throttle": """WITH b AS (SELECT event_id, user_id, event_type, floor(value / 5)::BIGINT AS bucket, lag(floor(value / 5)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
+SELECT event_id, user_id, bucket FROM b WHERE last IS NULL OR last <> bucket OR event_type IN ('purchase', 'error')""",
     "rate_limit_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS n FROM events",
     "token_bucket": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 m AS (SELECT *, max(us - i * 1200000000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 1200000000 AS full_at FROM e)
@@ -183,8 +209,8 @@ share AS (SELECT query_id, count(*) AS slots, count(have.term) AS covered FROM l
 clash AS (SELECT query_id, max(severity = 'high') AS high FROM c GROUP BY query_id)
 SELECT query_id, slots, covered, round(covered::DOUBLE / slots, 6) AS coverage, coalesce(high, false) AS conflict,
   coalesce(high, false) OR round(covered::DOUBLE / slots, 6) < 0.7 AS refused FROM share LEFT JOIN clash USING (query_id)""",
-    "faq_filter_rate_by_group": "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*) * 100, 2) AS rate FROM orders GROUP BY 1",
-    "faq_return_reason": "SELECT l_returnflag, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 2) AS share FROM lineitem GROUP BY 1",
+    "faq_filter_rate_by_group": "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, (20000 * count(*) FILTER (o_orderstatus = 'F') + count(*)) // (2 * count(*)) / 100.0::DOUBLE AS rate FROM orders GROUP BY 1",
+    "faq_return_reason": "SELECT l_returnflag, count(*) AS n, ((20000 * count(*) + sum(count(*)) OVER ()) // (2 * sum(count(*)) OVER ()))::BIGINT / 100.0::DOUBLE AS share FROM lineitem GROUP BY 1",
     "faq_region_rank": f"SELECT r_name, round(sum({_AMOUNT}), 2) AS sales FROM {_PLACED} GROUP BY r_name",
     "faq_monthly_trend": f"SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum({_AMOUNT}), 2) AS sales, count(*) AS n FROM {_SALES} GROUP BY 1",
     "faq_category_share": f"SELECT p_type, round(sum({_AMOUNT}) / sum(sum({_AMOUNT})) OVER () * 100, 2) AS share FROM {_PART} GROUP BY p_type",
@@ -194,12 +220,12 @@ SELECT query_id, slots, covered, round(covered::DOUBLE / slots, 6) AS coverage,
 SELECT a.year, round(a.s, 2) AS sales, round((a.s - b.s) / nullif(b.s, 0) * 100, 2) AS growth FROM y a LEFT JOIN y b ON a.year = b.year + 1""",
     "faq_channel": f"SELECT o_orderpriority, round(sum({_AMOUNT}), 2) AS sales, count(DISTINCT o_orderkey) AS orders FROM {_SALES} GROUP BY 1",
     "faq_nation_rank": f"WITH s AS (SELECT n_name, round(sum({_AMOUNT}), 2) AS sales FROM {_PLACED} GROUP BY 1) SELECT *, rank() OVER (ORDER BY sales DESC)::INT AS rank FROM s",
-    "faq_return_rate": "SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R') AS returned, round(count(*) FILTER (l_returnflag = 'R')::DOUBLE / nullif(count(*), 0) * 100, 2) AS rate FROM lineitem GROUP BY 1",
+    "faq_return_rate": "SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R') AS returned, (20000 * count(*) FILTER (l_returnflag = 'R') + count(*)) // (2 * count(*)) / 100.0::DOUBLE AS rate FROM lineitem GROUP BY 1",
     "faq_product_return_top": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10",
     "faq_latest_snapshot": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders) GROUP BY 1",
     "faq_turnover": """WITH s AS (SELECT l_partkey, sum(l_quantity) AS sold FROM lineitem GROUP BY 1), h AS (SELECT l_partkey, sum(l_quantity) AS held FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT l_partkey, round(sold / nullif(held, 0), 2) AS turnover FROM s JOIN h USING (l_partkey)""",
-    "faq_filter_rate": "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(avg((o_orderstatus = 'F')::INT::DOUBLE) * 100, 2) AS rate FROM orders",
+SELECT l_partkey, (200 * round(sold * 100)::BIGINT + round(held * 100)::BIGINT) // (2 * nullif(round(held * 100)::BIGINT, 0)) / 100.0::DOUBLE AS turnover FROM s JOIN h USING (l_partkey)""",
+    "faq_filter_rate": "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, (20000 * count(*) FILTER (o_orderstatus = 'F') + count(*)) // (2 * count(*)) / 100.0::DOUBLE AS rate FROM orders",
     "faq_weekend": f"SELECT dayofweek(o_orderdate) IN (0, 6) AS weekend, round(sum({_AMOUNT}), 2) AS sales, count(*) AS n FROM {_SALES} GROUP BY 1",
     "faq_half_open": "SELECT quarter(o_orderdate)::INT AS quarter, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1",
     "faq_margin_top": f"SELECT p_brand, round(sum({_AMOUNT} - p_retailprice), 2) AS margin FROM {_PART} GROUP BY 1 ORDER BY margin DESC, p_brand LIMIT 10",

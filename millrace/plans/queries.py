@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import percent, ratio
 from millrace.functions.text import clean_text, html_text, luhn_valid, partial_mask, token_estimate, tokens, years
 from millrace.operators import chunks
 from millrace.operators import evidence as ev
 from millrace.operators import relations as rel
 from millrace.operators import retrieval as ret
+from millrace.operators.ranges import running_before
 from millrace.sources.tables import corpus, table
+from millrace.sources.written import spool
 from millrace.streaming import bucket
 from millrace.streaming.breaker import breaker
 from millrace.streaming.limiter import limit
@@ -20,47 +23,58 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _ranked(df: DataFrame, k: int) -> DataFrame:
-    return ret.top(df, k).select("query_id", "doc_id", "score", "rank")
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "doc_id", "score", "rank")
 
 
 def lexical_bm25_topk(spark, sf):
-    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf)), 20)
+    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20))
 
 
 def lexical_relaxed(spark, sf):
-    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), stop=False), 20)
+    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20, stop=False))
 
 
 def bow_cosine_topk(spark, sf):
-    return _ranked(ret.bow_cosine(corpus(spark, sf), _items(spark, sf)), 20)
+    return _ranked(ret.bow_cosine(corpus(spark, sf), _items(spark, sf), 20))
+
+
+def question_topk(spark, sf):
+    """Documents by the nearest of the questions they answer."""
+    docs = corpus(spark, sf)
+    return _ranked(ret.question_channel(ret.questions(docs), _items(spark, sf), 20))
 
 
 def hybrid_rrf(spark, sf):
-    return ret.hybrid(corpus(spark, sf), _items(spark, sf)).select("query_id", "doc_id", "score", "rank")
+    return _ranked(ret.hybrid(corpus(spark, sf), _items(spark, sf)))
 
 
 def acl_filtered_search(spark, sf):
     docs = corpus(spark, sf).where(ret.acl_predicate([1, 2], 3))
-    return _ranked(ret.bow_cosine(docs, _items(spark, sf)), 10)
+    return _ranked(ret.bow_cosine(docs, _items(spark, sf), 10))
 
 
 def hybrid_rrf_fallback(spark, sf):
     docs, items = corpus(spark, sf).where(ret.RetrievalFilter(kb_ids=frozenset({"src1"})).predicate()), _items(spark, sf)
-    return ret.with_fallback(_ranked(ret.bm25(docs, items), 10), ret.bm25(docs, items, stop=False), 10).select("query_id", "doc_id", "score", "rank")
+    return _ranked(ret.with_fallback(_ranked(ret.bm25(docs, items, 10)), ret.bm25(docs, items, 20, stop=False), 10))
+
+
+def scoped_search(spark, sf):
+    """Search within languages, sources and a set of documents at once."""
+    chosen = ret.RetrievalFilter(document_ids=frozenset(range(0, 5000, 2)), section_names=frozenset({"en", "de"}), kb_ids=frozenset({"src0", "src1", "src2", "src3"}))
+    return _ranked(ret.bow_cosine(corpus(spark, sf).where(chosen.predicate(section_names="lang")), _items(spark, sf), 10))
 
 
 def fusion_per_kb(spark, sf):
-    docs, items = corpus(spark, sf), _items(spark, sf)
-    found = ret.bow_cosine(docs, items).join(docs.select("doc_id", "kb_id"), "doc_id")
-    w = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("score"), "doc_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return ranked.select("query_id", "kb_id", "doc_id", F.round(1.0 / (60 + F.col("rank")), 8).alias("score"))
+    """The five best of each source, then one list of them a query."""
+    found = ret.bow_cosine(corpus(spark, sf), _items(spark, sf), 5, group="kb_id")
+    scored = found.select("query_id", "kb_id", "doc_id", F.round(1.0 / (60 + F.col("rank")), 8).alias("score"))
+    return ret.merged(scored, 30).select("query_id", "kb_id", "doc_id", "score", "rank")
 
 
 def per_doc_diverse(spark, sf):
     docs = corpus(spark, sf)
-    hits = ret.top(ret.bow_cosine(docs, _items(spark, sf)), 20).join(docs.select("doc_id", "kb_id"), "doc_id")
+    hits = ret.bow_cosine(docs, _items(spark, sf), 20).join(docs.select("doc_id", "kb_id"), "doc_id")
     return ret.diverse(hits, 5, "kb_id").select("query_id", "doc_id", "kb_id", "place")
 
 
@@ -68,17 +82,19 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
+def _asking(v: DataFrame) -> DataFrame:
+    return v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+
+
 def vector_topk(spark, sf):
     v = _vectors(spark, sf)
-    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return ret.vector_top(v, queries, 10).select("query_id", "vec_id", "score", "rank")
+    return ret.vector_top(v, _asking(v), 10).select("query_id", "vec_id", "score", "rank")
 
 
 def question_channel_min(spark, sf):
+    """The nearest vector of each label."""
     v = _vectors(spark, sf)
-    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    scored = v.join(queries, F.col("vec_id") != F.col("query_id"))
-    return scored.groupBy("query_id", "label").agg(F.round(F.max(ret.cosine(F.col("v"), F.col("qv"))), 6).alias("score"))
+    return ret.vector_top(v, _asking(v), 1, group="label").select("query_id", "label", "score")
 
 
 def doc_mean_pool(spark, sf):
@@ -88,9 +104,8 @@ def doc_mean_pool(spark, sf):
 
 def mmr_select(spark, sf):
     v = _vectors(spark, sf)
-    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    hits = ret.vector_top(v, queries, 30).join(v.select("vec_id", "v"), "vec_id")
-    return ret.mmr(hits)
+    hits = ret.vector_top(v, _asking(v), 30).join(v.select("vec_id", "v", "label"), "vec_id")
+    return ret.mmr(hits, group="label")
 
 
 def entity_tf(spark, sf):
@@ -101,16 +116,21 @@ def entity_df(spark, sf):
     return rel.document_frequency(rel.entities(corpus(spark, sf)))
 
 
+def _relations(spark, sf):
+    """Relations of the documents whose id is divisible by 20 to all others."""
+    ents = rel.entities(corpus(spark, sf))
+    return rel.pair_relations(ents, F.col("doc_id") % 20 == 0)
+
+
 def relation_class(spark, sf):
-    return rel.pair_relations(rel.entities(corpus(spark, sf)))
+    return _relations(spark, sf)
 
 
 def cross_doc_neighbors(spark, sf):
     """Documents beside the hybrid search's hits that bear on the query."""
     docs, items = corpus(spark, sf), _items(spark, sf)
     matched = ret.hybrid(docs, items).select("query_id", "doc_id")
-    ents = rel.entities(docs)
-    return rel.neighbors(matched, rel.pair_relations(ents), ents, rel.query_entities(items), ret.bow_cosine(docs, items)).select("query_id", "doc_id", "score", "rank")
+    return rel.neighbors(matched, _relations(spark, sf), rel.entities(docs), rel.query_entities(items), ret.bow_cosine(docs, items, 15)).select("query_id", "doc_id", "score", "rank")
 
 
 def kb_list_visible(spark, sf):
@@ -136,11 +156,11 @@ def incremental_reuse(spark, sf):
 
 
 def chunk_ids(spark, sf):
-    """Identity by content: a hash and, for repeats within a source, an ordinal."""
+    """Identity by content: a hash and, for repeats within a source, an ordinal, counted range by range."""
     h = F.substring(F.sha2("text", 256), 1, 10)
     docs = corpus(spark, sf).where("text is not null").select("kb_id", "doc_id", h.alias("hash"))
-    n = F.row_number().over(Window.partitionBy("kb_id", "hash").orderBy("doc_id")) - 1
-    return docs.withColumn("n", n).select("doc_id", F.concat_ws("_", "kb_id", "hash", F.when(F.col("n") > 0, F.col("n"))).alias("chunk_id"))
+    n = running_before(docs.withColumn("range", F.floor(F.col("doc_id") / 1_000_000)), ["kb_id", "hash"], "range", ["doc_id"], F.lit(1), "n")
+    return n.select("doc_id", F.concat_ws("_", "kb_id", "hash", F.when(F.col("n") > 0, F.col("n"))).alias("chunk_id"))
 
 
 def page_noise(spark, sf):
@@ -225,12 +245,13 @@ def eval_metrics(spark, sf):
 
 
 def eval_latency_pctl(spark, sf):
-    """Percentiles by place, without interpolation: the value at floor(q * n)."""
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    ranked = table(spark, sf, "events").select("event_type", "value", (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.lit(q) * F.col("n")), F.col("value")))
-    return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Percentiles by place, without interpolation: the value at floor(q * n). Equal values are counted, not sorted."""
+    counts = table(spark, sf, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    counts = spool(counts.withColumn("range", F.floor("value")), "latency-counts")
+    sizes = counts.groupBy("event_type").agg(F.sum("c").alias("n"))
+    ranked = running_before(counts, ["event_type"], "range", ["value"], F.col("c"), "i").join(F.broadcast(sizes), "event_type")  # a row for each type
+    inside = lambda q: (F.col("i") <= F.floor(F.lit(q) * F.col("n"))) & (F.floor(F.lit(q) * F.col("n")) < F.col("i") + F.col("c"))
+    return ranked.groupBy("event_type").agg(*(F.max(F.when(inside(q), F.col("value"))).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"))))
 
 
 def score_by_category(spark, sf):
@@ -239,23 +260,36 @@ def score_by_category(spark, sf):
 
 
 def eval_transitions(spark, sf):
-    return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    """How the gold documents' ranks move where the question channel is turned on: the nine cells."""
+    docs, items = corpus(spark, sf), _items(spark, sf)
+    gold = spool(ret.containing(docs, items), "gold")
+    first = lambda hits: hits.join(gold, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    off, on = (first(ret.hybrid(docs, items, question_weight=w)).withColumnRenamed("first", n) for w, n in ((0.0, "off"), (0.15, "on")))
+    state = lambda c: F.when(F.col(c) == 1, "first").when(F.col(c).isNotNull(), "found").otherwise("missed")
+    both = items.select("query_id").join(off, "query_id", "left").join(on, "query_id", "left")
+    return both.groupBy(state("off").alias("before"), state("on").alias("after")).agg(F.count("*").alias("n"))
 
 
 def introspect_enums(spark, sf):
-    c = table(spark, sf, "customer").select(F.lit("c_mktsegment").alias("col"), F.col("c_mktsegment").alias("value"))
-    o = table(spark, sf, "orders").select(F.lit("o_orderstatus").alias("col"), F.col("o_orderstatus").alias("value"))
-    p = table(spark, sf, "part").select(F.lit("p_name").alias("col"), F.col("p_name").alias("value"))
-    values = c.unionByName(o).unionByName(p).distinct()
-    few = values.groupBy("col").agg(F.count("*").alias("n")).where("n <= 20")
-    return values.join(few, "col").select("col", "value")
+    """The values of each text column of the star tables that has 20 or fewer."""
+    every = None
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        t = table(spark, sf, name)
+        texts = [f.name for f in t.schema.fields if f.dataType.simpleString() == "string"]
+        pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in texts))).alias("p")
+        values = t.select(pairs).select("p.col", "p.value").where("value is not null").distinct()
+        every = values if every is None else every.unionByName(values)
+    every = spool(every, "column-values")
+    few = every.groupBy("col").agg(F.count("*").alias("n")).where("n <= 20")
+    return every.join(few, "col").select("col", "value")
 
 
 def progress_throttle(spark, sf):
-    """Events of a user whose bucket of 5 differs from the one before."""
+    """Events of a user whose bucket of 5 differs from the one before, and all that end something (purchase, error)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     b = table(spark, sf, "events").withColumn("bucket", F.floor(F.col("value") / 5).cast("long"))
-    return b.withColumn("last", F.lag("bucket").over(w)).where("last is null or last <> bucket").select("event_id", "user_id", "bucket")
+    changed = "last is null or last <> bucket or event_type in ('purchase', 'error')"
+    return b.withColumn("last", F.lag("bucket").over(w)).where(changed).select("event_id", "user_id", "bucket")
 
 
 def rate_limit_window(spark, sf):
@@ -282,21 +316,18 @@ def circuit_breaker(spark, sf):
 
 def vector_topk_filtered(spark, sf):
     v = _vectors(spark, sf)
-    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return ret.vector_top(v.where(F.col("label").isin(1, 2, 3)), queries, 10).select("query_id", "vec_id", "score", "rank")
+    return ret.vector_top(v.where(F.col("label").isin(1, 2, 3)), _asking(v), 10).select("query_id", "vec_id", "score", "rank")
 
 
 def two_stage_docs(spark, sf):
     """The labels whose mean vector is near the query first, 5 at most, then the best vectors of these."""
     v = _vectors(spark, sf)
-    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     means = v.select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
-    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("m"))
-    score = F.round(ret.cosine(F.col("m"), F.col("qv")), 6)
-    first = ret.top(means.join(queries, score >= 0.3).withColumn("score", score), 5, id_col="label").select("query_id", "label", "qv")
-    near = v.join(first, "label").where("vec_id <> query_id")
-    scored = near.select("query_id", "vec_id", F.round(ret.cosine(F.col("v"), F.col("qv")), 6).alias("score"))
-    return ret.top(scored, 10, id_col="vec_id").select("query_id", "vec_id", "score", "rank")
+    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
+    means = means.select((-1 - F.col("label")).cast("long").alias("vec_id"), "v")  # no vector's id
+    first = ret.vector_top(means, _asking(v), 5).where("score >= 0.3").select("query_id", (-1 - F.col("vec_id")).cast("int").alias("label"))
+    best = ret.vector_top(v, _asking(v), 10, group="label").join(first, ["query_id", "label"])
+    return ret.top(best.drop("rank"), 10, id_col="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 def per_doc_cap(spark, sf):
@@ -339,10 +370,10 @@ def evidence_gate(spark, sf):
     """Coverage of each query's terms by its hits, whether their values clash, and whether an answer is refused."""
     found = _found(spark, sf)
     share = ev.coverage(found, _items(spark, sf))
-    values = ev.named_values(found, "query_id")
-    clash = ev.conflicts(values, ["query_id", "name"]).groupBy("query_id").agg(F.max(F.col("severity") == "high").alias("high"))
-    high = F.coalesce("high", F.lit(False))
-    return share.join(clash, "query_id", "left").select("query_id", "slots", "covered", "coverage", high.alias("conflict"), ev.refuses(F.col("coverage"), high, 0.7).alias("refused"))
+    clashes = ev.conflicts(ev.named_values(found, "query_id"), ["query_id", "name"]).where("severity = 'high'").select("query_id", F.lit(1).alias("clash"))
+    both = share.withColumn("clash", F.lit(0)).unionByName(clashes, allowMissingColumns=True).groupBy("query_id")
+    judged = both.agg(*(F.max(c).alias(c) for c in ("slots", "covered", "coverage")), (F.max("clash") == 1).alias("conflict")).where("slots is not null")
+    return judged.withColumn("refused", ev.refuses(F.col("coverage"), F.col("conflict"), 0.7))
 
 
 def _sales(spark, sf):
@@ -396,7 +427,7 @@ def faq_nation_rank(spark, sf):
 
 def faq_return_rate(spark, sf):
     r = table(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count("*").alias("n"))
-    return r.select("l_linestatus", "returned", F.round(F.col("returned") / F.nullif(F.col("n"), F.lit(0)) * 100, 2).alias("rate"))
+    return r.select("l_linestatus", "returned", percent(F.col("returned"), F.col("n")).alias("rate"))
 
 
 def faq_product_return_top(spark, sf):
@@ -414,21 +445,23 @@ def faq_turnover(spark, sf):
     li = table(spark, sf, "lineitem")
     sold = li.groupBy("l_partkey").agg(F.sum("l_quantity").alias("sold"))
     held = li.where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.sum("l_quantity").alias("held"))
-    return sold.join(held, "l_partkey").select("l_partkey", F.round(F.col("sold") / F.nullif(F.col("held"), F.lit(0.0)), 2).alias("turnover"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    return sold.join(held, "l_partkey").select("l_partkey", ratio(cents("sold"), cents("held")).alias("turnover"))
 
 
 def faq_filter_rate(spark, sf):
-    return table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100, 2).alias("rate"))
+    counted = table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return counted.withColumn("rate", percent(F.col("done"), F.col("n")))
 
 
 def faq_filter_rate_by_group(spark, sf):
-    done = F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), done.alias("done"), F.round(done / F.count("*") * 100, 2).alias("rate"))
+    counted = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return counted.withColumn("rate", percent(F.col("done"), F.col("n")))
 
 
 def faq_return_reason(spark, sf):
     r = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    return r.select("l_returnflag", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 2).alias("share"))
+    return r.select("l_returnflag", "n", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 def faq_weekend(spark, sf):

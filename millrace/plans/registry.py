@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans.oracles import ORACLES
-from millrace.plans.queries import QUERIES
+from millrace.plans import answers, ingest
+from millrace.plans import oracles as first_oracles
+from millrace.plans import queries as first
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return first.QUERIES | ingest.QUERIES | answers.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    return first_oracles.ORACLES | ingest.ORACLES | answers.ORACLES
