@@ -1,56 +1,25 @@
-"""Helpers the operators share: the shared folder, written tables, and two-level running sums."""
+"""Helpers the operators share: keys, written tables that are dealt by a key, joins on hot keys, and batches."""
 
 from __future__ import annotations
 
 import atexit
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What counts as a word throughout: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dirs: dict[str, str] = {}
-
+from millrace.operators.ranges import running_before
+from millrace.sources.written import forget, shared_dir, spool
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only in local mode where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"file://{_own_dirs[app]}"
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended; the folder is the cluster's to clear then
-        return
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe when executors go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["WORD", "blocks", "bucketed", "join_spread", "list_views", "parallelism", "row_key", "running_before", "runs", "same", "shared_dir", "slices", "spool"]
 
+#: What counts as a word throughout: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def same(a: list[Column], b: list[Column]) -> Column:
     """Null-safe equality of two lists of columns."""
@@ -60,25 +29,6 @@ def same(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
-def running_before(df: DataFrame, groups: list[str], bucket: str, order: list[str], amount: Column, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``amount`` over the rows of the same group that come earlier.
-
-    ``bucket`` splits each group into ranges of its order, so no task holds a whole group: totals per range are
-    summed over the ranges, then rows are summed within theirs. ``df`` is read twice; pass a written table.
-    """
-    keys = [*groups, bucket]
-    totals = df.groupBy(*keys).agg(F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *(F.col(k).alias(f"_t_{k}") for k in keys), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = df.join(totals, same([df[k] for k in keys], [totals[f"_t_{k}"] for k in keys]))
-    return joined.withColumn(out, F.col("_start") + F.sum(amount).over(inside) - amount).drop(
-        "_start", *(f"_t_{k}" for k in keys)
-    )
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a task makes of a batch stays small however long texts are."""
     for b in batches:
@@ -135,7 +85,7 @@ def bucketed(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFra
     path = f"{shared_dir(spark)}/{table}"
     rows = df if dealt else df.repartition(parts, key)
     rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(table)
-    atexit.register(_forget, spark, path)
+    atexit.register(forget, spark, path)
     return spark.table(table)
 
 

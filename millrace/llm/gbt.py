@@ -43,7 +43,8 @@ def fit(
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 65)[1:-1])) for c in x.T] if len(x) else [np.empty(0)] * x.shape[1]
     binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1) if len(x) else x.astype(int)
     rate0 = (y.sum() + 1) / (len(y) + 2)
-    base = float(np.log(rate0 / (1 - rate0)))
+    both = len(set(y.tolist())) == 2
+    base = float(np.log(rate0 / (1 - rate0))) if both else 0.0  # one class teaches nothing
     score = np.full(len(x), base)
     nodes: list[list[float]] = []  # feature, threshold, left, right, value
     roots = []
@@ -80,7 +81,7 @@ def fit(
             nodes[me][:4] = [f, cuts[f][k], left, right]
         return me
 
-    for _ in range(trees if len(set(y.tolist())) == 2 else 0):
+    for _ in range(trees if both else 0):
         p = 1 / (1 + np.exp(-score))
         start = len(nodes)
         roots.append(grow(np.arange(len(x)), p - y, p * (1 - p), 0, -np.inf, np.inf))

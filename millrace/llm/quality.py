@@ -112,7 +112,7 @@ def judge(
 
     carried = keep if keep is not None else []
     data = docs.select(
-        F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(carried))
+        F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(carried))
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields[1:])
     return data.mapInArrow(
@@ -121,6 +121,7 @@ def judge(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``."""
+    """The rows of ``docs`` that pass, with the columns of ``docs``, whatever their names. Null and empty texts fail; with
+    labels that are empty or of one class only the fixed limits count. An empty table gives an empty one."""
     judged = judge(docs, train(docs, labels), keep=docs.columns)
     return judged.where("kept").select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -370,7 +370,7 @@ def exact_links(groups: DataFrame, sets: DataFrame, radius: int, similarity: flo
 
 
 def keep_one_of_each(
-    docs: DataFrame, radius: int = 80, width: int = 5, similarity: float = 0.8, unit: int = 1000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, radius: int = 80, width: int = 5, similarity: float = 0.8, unit: int = 300, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with one row for each group of near copies: the one with the smallest id.
 

@@ -16,6 +16,8 @@ from millrace.llm import bktree, common, components, langid, lines, mixing, pack
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, bucket string"
+#: Names that operators use inside.
+CLASHES = ["_of", "_row", "_lines", "_words", "_epochs", "_last", "_copy", "row", "doc", "rid", "chunks", "lines_", "copy", "of", "key", "node", "id", "_part", "spans", "a b", "x.y"]
 
 
 def word(i):
@@ -34,7 +36,13 @@ def odd(spark):
         (4, "", "en", "b"), (None, prose(500, 60), None, "b"), (5, prose(900, 9000), "de", "b"), (6, " \t\n ", None, None),
         (7, "line one\nline two\nline three\n" * 5, "en", "c"), (8, prose(0, 119) + " other", "en", "a"), (9, "\n" * 50, "en", "c"),
     ]
-    return spark.createDataFrame([(*r, 0, "s", 1, "b") for r in rows], SCHEMA)
+    schema = SCHEMA + "".join(f", `{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(*r, 0, "s", 1, "b", *CLASHES) for r in rows], schema)
+
+
+def unchanged(df):
+    """The clashing columns hold what they held."""
+    return all([r[c] for c in CLASHES] == CLASHES for r in df.collect())
 
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
@@ -79,7 +87,7 @@ def test_mix(odd):
         assert sum(r.taken for r in group) == int(group[0].target) and group[0].target <= 2 * group[0].source_size
     assert abs(sum(g[0].target for g in by.values()) - 1.5 * total) < 1e-6
     out = mixing.mix_documents(odd)
-    assert out.columns == odd.columns and out.groupBy("doc_id", "text", "source").count().agg(F.max("count")).first()[0] <= 4
+    assert out.columns == odd.columns and unchanged(out) and out.groupBy("doc_id", "text", "source").count().agg(F.max("count")).first()[0] <= 4
 
 
 def test_shard_moves_only_into_the_new(spark, odd):
@@ -98,7 +106,12 @@ def test_pack(spark, odd):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.word_tokenizer())
-    rows = packing.pack_documents(odd, queries.word_tokenizer(), with_ids=True).collect()
+    packed = packing.pack_documents(odd, queries.word_tokenizer(), with_ids=True)
+    rows = packed.collect()
+    whole_sequences = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    for r in rows:
+        assert whole_sequences[r.sequence_id][r.offset : r.offset + r.length] == r.ids
+    assert sum(map(len, whole_sequences.values())) == sum(r.length for r in rows)
     ids = {r.doc_id: whole.encode(r.text or "", add_special_tokens=False).ids + [1] for r in odd.collect()}
     for d, want in ids.items():
         mine = sorted({(r.piece, tuple(r.ids)) for r in rows if r.doc_id == d})
@@ -248,6 +261,15 @@ def test_bk_tree():
     assert got == want
 
 
+def test_near_copies_in_odd_rows(spark, odd):
+    kept = simhash.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and unchanged(kept)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 5, 7]  # 3, 4, 6 and 9 have no words
+    assert sum(r.doc_id is None for r in kept.collect()) == 1
+    many = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(prose(0, 60)).alias("text"))
+    assert simhash.keep_one_of_each(many).count() == 1
+
+
 def test_near_copies_leave_one(spark):
     base = [word(i) for i in range(300)]
     near = base.copy()
@@ -424,7 +446,8 @@ def test_lines(spark, odd):
     assert out[1].text == rows[1][1] and out[3].text == rows[2][1] and out[1].lines_removed == 0
     assert out[2].lines_removed > 15 and out[2].text.startswith("own")
     kept = lines.dedup_lines(odd)
-    assert kept.count() == 11 and kept.columns == [*odd.columns, "lines_removed"]
+    assert kept.count() == 11 and kept.columns == [*odd.columns, "lines_removed"] and unchanged(kept)
+    assert {r.doc_id: r.lines_removed for r in kept.collect()}[7] > 3  # its lines repeat within it
 
 
 def test_langid_held_out(spark, odd):
@@ -458,6 +481,34 @@ def floors(vectors):
     return [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
 
 
+def test_langid_against_plain_bayes(spark, odd):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(~langid.held_out(F.col("doc_id")))
+    model = langid.train(docs, orders=(1, 2), bits=20)
+    counts, sizes = {}, Counter()
+
+    def grams(text):
+        t = f" {text.lower()} "
+        return [t[i : i + n] for n in (1, 2) for i in range(len(t) - n + 1)]
+
+    bucket = lambda g: int(langid.ngram_hashes(np.array([ord(c) for c in g], np.uint64), len(g), 20)[0])
+    for r in docs.collect():
+        if r.lang is not None and r.text is not None:
+            sizes[r.lang] += 1
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    names = sorted(sizes)
+    assert model.languages == names
+    long_text = "ab cé " * 120_000  # over several parts of the walk
+    for text in [r.text for r in docs.limit(10).collect()] + ["é", "Was ist das?", long_text]:
+        told = Counter(grams(text))
+        want = [np.log(sizes[k] / sum(sizes.values())) + sum(n * np.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 2**20)) for g, n in told.items()) for k in names]
+        got = model.log_odds([text])[0]
+        assert len({bucket(g) for g in told}) == len(told) and np.allclose(got, want, rtol=1e-9)
+    texts = ["one", None, "", "123", "two words"]
+    assert model.predict(texts)[0] == [model.predict([t])[0][0] for t in texts] and model.predict([]) [0] == []
+
+
 def test_topk_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(260)] + [(1000 + i, [0.5] * 8) for i in range(40)]
@@ -503,7 +554,42 @@ def test_quality(spark, odd):
     x = np.tile(np.array([[6.0, 5, 0, 0, 0, 0.05, 0.7, 0.2, 0, 0.1, 20]]), (50, 1))
     x[:, 2] = np.linspace(0, 4, 50)
     assert (np.diff(forest.probability(x)) <= 1e-12).all()  # more symbols never help
-    assert {r.doc_id for r in quality.keep_good(odd, labels).collect()} <= {1, 2, 5, 8, None}
+    good = quality.keep_good(odd, labels)
+    assert {r.doc_id for r in good.collect()} <= {1, 2, 5, 8, None} and good.columns == odd.columns and unchanged(good)
+
+
+def walked(forest, x):
+    """The probability of one row, tree by tree and node by node."""
+    total = forest.base
+    for root in forest.root:
+        at = root
+        while forest.left[at] != at:
+            at = forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        total += forest.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_walk_like_plain_ones_and_hold_on_unseen_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen, unseen = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    forest = quality.train(docs, seen)
+    judged = quality.judge(docs, forest)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in judged.collect():
+        counts, x = quality.document_stats(texts[r.doc_id])
+        score = walked(forest, x)
+        assert abs(score - r.score) < 1e-9 and r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+        assert r.kept == (not r.base_failed and score >= 0.35)
+    told = judged.join(unseen, "doc_id").where("not base_failed").collect()
+    assert len(told) > 60 and np.mean([r.kept == (r.quality == 1) for r in told]) > 0.85
+    for f, sign in enumerate(quality.FEATURES.values()):
+        x = np.tile(np.array([6.0, 5, 0.01, 0.05, 0, 0.05, 0.7, 0.2, 0.01, 0.1, 20]), (60, 1))
+        x[:, f] = np.linspace(0, 3, 60)
+        assert not sign or (sign * np.diff(forest.probability(x)) >= -1e-12).all()
+    one = quality.judge(docs, quality.train(docs, labels.where("quality = 0"))).where("not base_failed")
+    assert one.where("kept").count() == one.count() > 0  # one class teaches nothing
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0), (6, 7, 0)], labels.schema))
+    assert quality.judge(docs, quality.train(docs, twice)).count() == docs.count()  # labels that repeat or are null
 
 
 def test_urls(spark):
@@ -521,12 +607,51 @@ def test_urls(spark):
         assert {(r.rule, r.verdict) for r in got if r.page_id == (None if i == 2 else i)} == {want}
 
 
+def test_urls_of_very_long_hosts(spark):
+    rules = spark.createDataFrame([*queries.URL_RULES, ("", "/all/", "block"), ("a.b.c.com", "", "block")], "host string, path string, verdict string")
+    host = ".".join(["x"] * 20_000)
+    cases = [f"http://{host}.example.org/es/1", f"http://{host}.a.b.c.com/q", "http://a.b.c.com", "http://.com/fr/", "http://com./fr/", "http://c.com/all/x"]
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in urls.judge_urls(pages, rules).collect()}
+
+    def plain(url):
+        place = url.split("://")[1]
+        at, path = place.split("/")[0], place[len(place.split("/")[0]) :]
+        fits = [h + p for h, p, _ in map(tuple, rules.collect()) if (at == h or at.endswith("." + h)) and path.startswith(p)]
+        return max(sorted(fits), key=len, default=None)
+
+    assert got == {i: plain(u) for i, u in enumerate(cases)}
+
+
+def test_mix_takes_whole_documents_near_the_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    target = {r.source: r.target for r in mixing.mix_plan(docs).collect()}
+    taken, times = dict.fromkeys(target, 0), {}
+    for r in mixing.mix_documents(docs).collect():
+        taken[r.source] += size[r.doc_id]
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert all(n <= 2 for n in times.values())
+    for s, want in target.items():
+        assert abs(taken[s] - want) <= max(n for d, n in size.items() if source[d] == s)
+    assert sorted(map(repr, mixing.mix_documents(docs).collect())) == sorted(map(repr, mixing.mix_documents(docs).collect()))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.spool(stage(spark, docs, SF), name.replace(" ", "-"))
+        before, docs = docs, corpus_pipeline.spool(stage(spark, docs, SF), name.replace(" ", "-"))
         assert docs.columns == columns, name
         assert docs.count() > 50
+        ids = sorted(r.doc_id for r in docs.collect())
+        if name == "quality rules":
+            judged = quality.judge(before, quality.train(before, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+            assert ids == sorted(r.doc_id for r in judged if r.kept)
+        elif name == "line dedup":
+            assert ids == sorted(r.doc_id for r in before.collect()) and all(r.n_chars == len(r.text) for r in docs.collect())
+        elif name == "near dedup":
+            assert ids == stays([(r.doc_id, r.text) for r in before.collect()])
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.where("piece = 0").count() == docs.count()
