@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import pii
+from millrace.functions.parse import parsed, table_prose
 from millrace.functions.text import TOKEN, partial_mask
-from millrace.plans.oracles import _CORPUS
+from millrace.operators import relations as rel
+from millrace.plans.oracles import _CORPUS, _ENTITIES
 from millrace.plans.oracles import TEXTS as STAR
 from millrace.sources import tables
 from millrace.sources.tables import corpus, table
@@ -332,3 +334,34 @@ def index_status(spark, sf):
     docs = corpus(spark, sf).select("doc_id").join(made, "doc_id", "left")
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "failed").when(F.col("failed") == 0, "indexed").when(F.col("doc_id") % 2 == 0, "unchanged")
     return docs.select("doc_id", status.when(F.col("failed") == F.col("n"), "failed").otherwise("partial").alias("status"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 3 THEN 'unsupported suffix: bin' END AS error FROM documents WHERE regexp_full_match(text, '(?s)[\\x{01}-\\x{FF}]*')""")
+def parsed_files(spark, sf):
+    """Documents as files of several suffixes and encodings, read back by the parser that their names call for."""
+    docs = corpus(spark, sf).where(F.col("text").rlike(r"^[\x{01}-\x{FF}]*$"))
+    d = F.col("doc_id") % 4
+    name = F.concat(F.lit("file"), "doc_id", F.when(d == 0, ".txt").when(d == 1, ".MD").when(d == 2, ".csv").otherwise(".bin"))
+    content = F.when(d == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    read = docs.select("doc_id", parsed(name, content, "ISO-8859-1").alias("p"))
+    return read.select("doc_id", F.md5("p.text").alias("text_md5"), "p.error")
+
+
+@query(f"{_ENTITIES} SELECT DISTINCT e.doc_id FROM ents e JOIN documents d USING (doc_id) WHERE d.source <> 'src1' AND e.entity IN (SELECT entity FROM ents JOIN documents o USING (doc_id) WHERE o.source = 'src1' AND o.doc_id % 50 = 0)")
+def sharing_documents(spark, sf):
+    """Documents outside of a source that share an entity with one of some of its documents."""
+    docs = corpus(spark, sf)
+    ents = rel.entities(docs).join(docs.select("doc_id", "kb_id"), "doc_id")
+    asked = ents.where("kb_id = 'src1' and doc_id % 50 = 0").select("entity").distinct()
+    return ents.where("kb_id <> 'src1'").join(asked, "entity", "left_semi").select("doc_id").distinct()
+
+
+@query("""WITH nations AS (SELECT * FROM nation WHERE n_nationkey < 18), r AS (SELECT n_regionkey, count(*) AS n FROM nations GROUP BY 1)
+SELECT n_regionkey AS region, CASE WHEN n <= 4 THEN (SELECT string_agg('nation ' || n_name || ', key ' || n_nationkey, chr(10) ORDER BY n_nationkey) FROM nations x WHERE x.n_regionkey = r.n_regionkey)
+  ELSE '| nation | key |' || chr(10) || '|---|---|' || chr(10) || (SELECT string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) FROM nations x WHERE x.n_regionkey = r.n_regionkey) END AS text FROM r""")
+def small_tables(spark, sf):
+    """A Markdown table of some nations of each region; small ones become sentences."""
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("| "), "n_name", F.lit(" | "), "n_nationkey", F.lit(" |")).alias("line"))))
+    made = table(spark, sf, "nation").where("n_nationkey < 18").groupBy(F.col("n_regionkey").alias("region")).agg(rows.alias("rows"))
+    whole = F.concat_ws("\n", F.lit("| nation | key |"), F.lit("|---|---|"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    return made.select("region", whole.alias("t")).select("region", table_prose(F.col("t")).alias("text"))

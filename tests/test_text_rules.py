@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import pii
 from millrace.functions.json_repair import repaired
+from millrace.functions.parse import parsed, table_prose
 from millrace.functions.text import clean_text
 from millrace.functions.years import head_year, name_year, query_years
 from millrace.operators.tags import TagParser, tag_parts
@@ -94,3 +95,17 @@ def test_repaired_json(spark, text, k):
 def test_cleaning(spark):
     text = "a\r\nb\x01 é​ \n<!-- page 3 -->\nＡ１　中 文 字  \n\n\n\n  end "
     assert one(spark, text, clean_text) == "a\nb é \n\nA1 中文字\n\n  end".replace("é \n", "é\n")
+
+
+def test_parsing_by_suffix(spark):
+    rows = [("a.TXT", "é".encode()), ("b.md", "中文".encode("gbk")), ("c.html", b"<p>x &amp; y</p>"), ("d.exe", b"1"), ("noname", b"1"), ("e.txt", None), ("f.csv", b"\xef\xbb\xbfa,b")]
+    df = spark.createDataFrame([(n, bytearray(c) if c is not None else None) for n, c in rows], "name string, content binary")
+    got = [tuple(r.p) for r in df.select(parsed(F.col("name"), F.col("content")).alias("p")).collect()]
+    assert got == [("é", None), ("中文", None), ("x & y", None), (None, "unsupported suffix: exe"), (None, "unsupported suffix: "), (None, "no content"), ("a,b", None)]
+
+
+def test_small_tables_become_prose(spark):
+    small = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |  |"
+    assert one(spark, small, table_prose) == "a 1, b 2\na 3, b "
+    large = small + "\n| 5 | 6 |" * 4
+    assert one(spark, large, table_prose) == large and one(spark, "no table", table_prose) == "no table"
