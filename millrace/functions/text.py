@@ -6,9 +6,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
-#: Function words left out of the first lexical pass.
-STOP_WORDS = ["the", "and", "of", "to", "in", "is", "la", "de", "le", "der", "die", "que", "el", "und"]
+_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+#: A run of letters and digits; a Chinese sign is a token of its own.
+TOKEN = rf"[{_HAN}]|[\p{{L}}\p{{N}}&&[^{_HAN}]]+"
+#: Function words left out of the first lexical pass, by language.
+STOP_WORDS = [
+    *("the and of to in is a an are as at be by for from has have he it its not on or that this was were which with you".split()),
+    *("der die das den dem des ein eine einer und oder nicht von zu mit auf für ist sind war im am als auch sich".split()),
+    *("le la les un une des du de et ou ne pas que qui dans pour sur avec est sont au aux par ce cette".split()),
+    *("el los las una y o no en por para con es son del al se su lo como más".split()),
+    *("的 了 和 是 在 有 与 及 或 不 也 就 这 那 被 把 对 为".split()),
+]
+STOP_WORDS = list(dict.fromkeys(STOP_WORDS))
 
 
 def tokens(text: Column) -> Column:
@@ -27,7 +36,8 @@ def token_bucket(token: Column) -> Column:
 
 
 def partial_mask(value: Column) -> Column:
-    n = F.length(value)
+    """Short values keep their ends, longer ones the first three and the last four signs."""
+    n = F.length(value)  # fixed values: the lengths at which the form changes, and what stays
     star = F.lit("*")
     return (
         F.when(n <= 1, value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import pii
 from millrace.functions.json_repair import repaired
 from millrace.functions.parse import parsed, table_prose
-from millrace.functions.text import clean_text
+from millrace.functions.text import clean_text, tokens
 from millrace.functions.years import head_year, name_year, query_years
 from millrace.operators.tags import TagParser, tag_parts
 
@@ -109,3 +109,7 @@ def test_small_tables_become_prose(spark):
     assert one(spark, small, table_prose) == "a 1, b 2\na 3, b "
     large = small + "\n| 5 | 6 |" * 4
     assert one(spark, large, table_prose) == large and one(spark, "no table", table_prose) == "no table"
+
+
+def test_tokens_of_mixed_scripts(spark):
+    assert one(spark, "Ab中文c-3é, x", lambda t: tokens(t)) == ["ab", "中", "文", "c", "3é", "x"]
