@@ -40,4 +40,11 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(forget, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.spooled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``spool`` gave and nothing reads any more."""
+    forget(df.sparkSession, df.spooled_at)
