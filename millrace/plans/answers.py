@@ -116,12 +116,12 @@ def first_seen(spark, sf):
     return _hits(spark, sf).withColumn("n", n).where("n = 1").select("query_id", "doc_id", "rank")
 
 
-@query(f"""{_hits_sql()} SELECT query_id, kb_id, count(*) AS n, min(rank)::INT AS first, list(doc_id ORDER BY rank) AS docs FROM hit GROUP BY ALL""")
+@query(f"""{_hits_sql()} SELECT query_id, kb_id, count(*) AS n, min(rank)::INT AS first, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS docs FROM hit GROUP BY ALL""")
 def hits_by_source(spark, sf):
     """Hits gathered by source in the order in which they were found."""
     found = F.array_sort(F.collect_list(F.struct("rank", "doc_id")))
     grouped = _hits(spark, sf).groupBy("query_id", "kb_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), found.alias("f"))
-    return grouped.select("query_id", "kb_id", "n", "first", F.transform("f", lambda x: x["doc_id"]).alias("docs"))
+    return grouped.select("query_id", "kb_id", "n", "first", F.array_join(F.transform("f", lambda x: x["doc_id"].cast("string")), ",").alias("docs"))
 
 
 @query(f"""{_hits_sql()}, slot AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
@@ -335,7 +335,7 @@ def page_years(spark, sf):
 
 @query("""WITH q AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'from 202' || event_id % 10 || ' to ' WHEN 1 THEN '202' || event_id % 6 || '-202' || user_id % 10 WHEN 2 THEN '202' || event_id % 6 || '-2' || user_id % 10 ELSE '45' || value::VARCHAR END AS text,
   event_id % 6 AS a, user_id % 10 AS b FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN [2020 + event_id % 10] WHEN 3 THEN NULL ELSE range(2020 + least(a, b), 2021 + greatest(a, b)) END::INT[] AS years FROM q WHERE event_id % 4 < 3""")
+SELECT event_id, array_to_string(CASE event_id % 4 WHEN 0 THEN [2020 + event_id % 10] ELSE range(2020 + least(a, b), 2021 + greatest(a, b)) END, ',') AS years FROM q WHERE event_id % 4 < 3""")
 def query_year_lists(spark, sf):
     """The years that a question names, ranges with short or long ends filled up."""
     e, u = F.col("event_id"), F.col("user_id") % 10
@@ -344,7 +344,7 @@ def query_year_lists(spark, sf):
         .when(e % 4 == 1, F.concat(F.lit("202"), e % 6, F.lit("-202"), u))
         .when(e % 4 == 2, F.concat(F.lit("202"), e % 6, F.lit("-2"), u))
     )
-    return table(spark, sf, "events").where(e % 4 < 3).select("event_id", query_years(text).alias("years"))
+    return table(spark, sf, "events").where(e % 4 < 3).select("event_id", F.array_join(F.transform(query_years(text), lambda y: y.cast("string")), ",").alias("years"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)? ?(?:%|km|kg|million)')) AS found FROM documents)
@@ -408,8 +408,8 @@ def query_kinds(spark, sf):
 
 
 @query(r"""WITH p AS (SELECT item_id AS query_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.]'), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> '')[1:4] AS parts FROM benchmark)
-SELECT query_id, CASE WHEN len(parts) = 0 THEN [text] ELSE parts END AS parts FROM p""")
+SELECT query_id, CASE WHEN len(parts) = 0 THEN text ELSE array_to_string(parts, ' | ') END AS parts FROM p""")
 def sub_questions(spark, sf):
     """The first four parts of a question that are not blank; the question itself if there are none."""
     parts = F.slice(F.filter(F.transform(F.split("text", "[.]", -1), lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))), lambda x: x != ""), 1, 4)
-    return _items(spark, sf).select("query_id", F.when(F.size(parts) == 0, F.array("text")).otherwise(parts).alias("parts"))
+    return _items(spark, sf).select("query_id", F.when(F.size(parts) == 0, F.col("text")).otherwise(F.array_join(parts, " | ")).alias("parts"))

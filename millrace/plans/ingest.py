@@ -316,13 +316,13 @@ def id_card_checks(spark, sf):
 
 
 @query(f"""WITH {_CORPUS}, q AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM corpus WHERE text IS NOT NULL)
-SELECT doc_id, left(array_to_string(w[1:3], ' '), 40) AS title, left(array_to_string(w[1:30], ' '), 200) AS summary, [array_to_string(w[1:5], ' '), array_to_string(w[6:10], ' ')] AS questions FROM q""")
+SELECT doc_id, left(array_to_string(w[1:3], ' '), 40) AS title, left(array_to_string(w[1:30], ' '), 200) AS summary, array_to_string(w[1:5], ' ') || ' | ' || array_to_string(w[6:10], ' ') AS questions FROM q""")
 def stub_metadata(spark, sf):
     """Title, summary and two questions of each document by the built-in stand-in for a model: its first words."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKEN})"), 1)
     cut = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     docs = corpus(spark, sf).where("text is not null").select("doc_id", w.alias("w"))
-    return docs.select("doc_id", F.substring(cut(1, 3), 1, 40).alias("title"), F.substring(cut(1, 30), 1, 200).alias("summary"), F.array(cut(1, 5), cut(6, 5)).alias("questions"))
+    return docs.select("doc_id", F.substring(cut(1, 3), 1, 40).alias("title"), F.substring(cut(1, 30), 1, 200).alias("summary"), F.concat_ws(" | ", cut(1, 5), cut(6, 5)).alias("questions"))
 
 
 @query(f"""WITH {CHUNKS}, made AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(text) > 2000) AS failed FROM chunk GROUP BY doc_id)
