@@ -32,19 +32,19 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spaced), np.uint32).astype(np.uint64), stops
 
 
-def ngrams(texts: list[str], orders: tuple[int, ...], bits: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngrams(texts: list[str], orders: tuple[int, ...], bits: int, step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text's place, bucket) of every n-gram of the texts, a bounded number at a time, in the order of the texts.
 
     An n-gram lies within one text; long texts are walked with an overlap, so none is lost or made up between parts.
     """
     codes, stops = code_points(texts)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(stops, prepend=0))
     for start in range(0, len(codes), step):
         for n in orders:
             bucket = ngram_hashes(codes[start : start + step + n - 1], n, bits)
-            first = np.arange(start, start + len(bucket))
-            owner = np.searchsorted(stops, first, "right")
-            inside = first + n <= stops[owner]
-            yield owner[inside], bucket[inside]
+            of = owner[start : start + len(bucket)]
+            inside = of == owner[start + n - 1 : start + n - 1 + len(bucket)]
+            yield (of, bucket) if inside.all() else (of[inside], bucket[inside])
 
 
 @dataclass(frozen=True)
