@@ -14,7 +14,7 @@ from millrace.llm.common import join_spread, row_key, running_before, spool
 
 
 #: Up to here sums of products are exact as floats; up to the next they are as 64-bit integers.
-FLOAT_EXACT, LONG_EXACT = 2.0**52, 2.0**62
+FLOAT_EXACT, LONG_EXACT = 2.0**52, 2.0**63 * (1 - 2.0**-20)
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
