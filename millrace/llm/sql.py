@@ -75,19 +75,27 @@ def _place(tree: list[Leaf]) -> str:
 
 
 #: DuckDB has no crc32, so its table comes from the rule of the reflected polynomial.
-OP2 = f"""
-WITH crc_table AS (
+_CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k:
            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
   FROM (SELECT unnest(range(0, 256))::BIGINT AS i)
-), keyed AS (
+)"""
+
+
+def _crc32(digits: str) -> str:
+    """The checksum of bytes given as hex digits, beside ``crc_table``."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({digits}), 2),
+           lambda p: ('0x' || substr({digits}, p, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+OP2 = f"""
+WITH {_CRC_TABLE}, keyed AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS key FROM documents
 ), hexed AS (
   SELECT *, hex(encode(text)) AS digits FROM keyed
 ), placed AS (
   SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(digits), 2),
-           lambda p: ('0x' || substr(digits, p, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32,
+         {_crc32("digits")} AS text_crc32,
          ({_place(topology(8))})::INT AS shard, ({_place(topology(9))})::INT AS grown_shard, md5(key) AS h
   FROM hexed, crc_table
 )
@@ -152,4 +160,97 @@ WITH split AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-ORACLES = {"op1_mix": OP1, "op2_shard": OP2, "op7_lines": OP7, "op8_topk": OP8, "op10_urls": OP10}
+
+
+def _merkle(name: str, levels: int) -> str:
+    """CTEs {name}0 (g, place, n, h) up to {name}{levels}, and {name}_way (g, place, lvl, before, after) of each node."""
+    up = [
+        f"""{name}{k + 1} AS (
+  SELECT g, place // 16 AS place, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY place)) AS h FROM {name}{k} WHERE n > 1 GROUP BY g, place // 16, n
+)"""
+        for k in range(levels)
+    ]
+    way = " UNION ALL ".join(
+        f"""SELECT g, place, {k} AS lvl, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY g, place // 16 ORDER BY place)"""
+        for k in range(levels)
+    )
+    top = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join(up) + f", {name}_way AS ({way}), {name}_top AS ({top})"
+
+
+def _told(columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns.split(", ")) + ")"
+
+
+_LEVELS = 6  # sources of up to 16 ** 6 documents
+OP13 = f"""
+WITH {_CRC_TABLE}, rows AS (
+  SELECT *, {_told("doc_id, source, lang, n_chars, text")} AS leaf,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded, hex(encode(doc_id::VARCHAR)) AS digits
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source AS g, leaf, {_told("doc_id, source, lang, n_chars, folded")} AS other,
+         coalesce({_crc32("digits")} % 5 = 0, false) AS tampered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+  FROM rows, crc_table
+), named AS (
+  SELECT * REPLACE (coalesce('s' || g, 'n') AS g) FROM leaves
+), d0 AS (
+  SELECT g, place, n, leaf AS h FROM named
+), {_merkle("d", _LEVELS)}, s0 AS (
+  SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n, h, g AS source FROM d_top
+), {_merkle("s", 3)}, siblings AS (
+  SELECT l.doc_id, l.g, l.place, w.lvl, w.before, w.after FROM named l JOIN d_way w ON w.g = l.g AND w.place = l.place // (16 ** w.lvl)::BIGINT
+  UNION ALL
+  SELECT l.doc_id, l.g, l.place, 100 + w.lvl, w.before, w.after
+  FROM named l JOIN s0 s ON s.source = l.g JOIN s_way w ON w.place = s.place // (16 ** w.lvl)::BIGINT
+), ways AS (
+  SELECT g, place, list({{'before': before, 'after': after}} ORDER BY lvl) AS way FROM siblings GROUP BY g, place
+), folded AS (
+  SELECT l.*, t.h AS subroot, r.h AS root, coalesce(w.way, []) AS way,
+         list_reduce(list_prepend({{'before': CASE WHEN tampered THEN other ELSE leaf END, 'after': ''}}, coalesce(w.way, [])),
+                     lambda node, s: {{'before': sha256(s.before || node.before || s.after), 'after': ''}}).before AS folded_root
+  FROM named l JOIN d_top t ON t.g = l.g CROSS JOIN s_top r LEFT JOIN ways w ON w.g = l.g AND w.place = l.place
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(way, lambda s: s.before || s.after), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE}, found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+         unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+'),
+                               lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run
+  FROM documents
+), counted AS (
+  SELECT doc, run, count(*) AS times, hex(encode(doc || ':' || run)) AS digits FROM found WHERE length(run) >= 7 GROUP BY doc, run
+), summed AS (
+  SELECT run, times, {_crc32("digits")} AS h FROM counted, crc_table
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 7 AND sum(times) >= 2
+), shorter AS (
+  SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN shorter b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS best FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * w.n THEN best.near END AS form,
+         CASE WHEN -best.less >= 10 * w.n THEN (-best.less)::BIGINT END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+), ways AS (
+  SELECT word, coalesce(form, word) AS root FROM forms
+  UNION SELECT ways.word, f.form FROM ways JOIN forms f ON f.word = ways.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT w.word, w.root FROM ways w JOIN forms f ON f.word = w.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
+"""
+
+ORACLES = {"op1_mix": OP1, "op2_shard": OP2, "op7_lines": OP7, "op8_topk": OP8, "op10_urls": OP10, "op12_spelling": OP12, "op13_merkle": OP13}
