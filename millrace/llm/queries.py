@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, lines, merkle, mixing, packing, passages, quality, sharding, simhash, spelling, topk, urls
+from millrace.llm import langid, lines, merkle, mixing, nearvectors, packing, passages, quality, sharding, simhash, spelling, topk, urls
 
 #: Fixed values of the rule list: host, path, verdict.
 URL_RULES = [
@@ -77,6 +77,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvectors.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.vocabulary(_table(spark, sf_dir, "documents"), least=7, times=2, every=31)
     return spelling.spelling_variants(words, ratio=10)
@@ -89,5 +93,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix, op2_shard, op3_pack, op4_passages, op5_simhash, op6_langid, op7_lines, op8_topk, op9_quality, op10_urls, op12_spelling, op13_merkle)
+    for f in (op1_mix, op2_shard, op3_pack, op4_passages, op5_simhash, op6_langid, op7_lines, op8_topk, op9_quality, op10_urls, op11_vectors, op12_spelling, op13_merkle)
 }

@@ -219,6 +219,25 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
 FROM folded
 """
 
+OP11 = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), least AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.vec_id = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
 OP12 = rf"""
 WITH RECURSIVE {_CRC_TABLE}, found AS (
   SELECT coalesce(doc_id::VARCHAR, '') AS doc,
@@ -253,4 +272,4 @@ WITH RECURSIVE {_CRC_TABLE}, found AS (
 SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
 """
 
-ORACLES = {"op1_mix": OP1, "op2_shard": OP2, "op7_lines": OP7, "op8_topk": OP8, "op10_urls": OP10, "op12_spelling": OP12, "op13_merkle": OP13}
+ORACLES = {"op1_mix": OP1, "op2_shard": OP2, "op7_lines": OP7, "op8_topk": OP8, "op10_urls": OP10, "op11_vectors": OP11, "op12_spelling": OP12, "op13_merkle": OP13}
