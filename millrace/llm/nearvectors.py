@@ -73,7 +73,7 @@ def grown_tree(points: DataFrame, block: int, fan_out: int, sample: int) -> tupl
         rows = rows.sort_values("order")
         x, size = _matrix(rows["v"]), int(rows["size"].iloc[0])
         at = _chosen(x, min(fan_out, max(2, 2 * -(-size // block))))
-        return pd.DataFrame({"parent": key[0], "idx": np.arange(len(at), dtype=np.int32), "center": [x[i].tolist() for i in at]})
+        return pd.DataFrame({"parent": key[0], "idx": np.arange(len(at), dtype=np.int32), "center": [x[i].tolist() for i in at], "units": rows["units"].iloc[0]})
 
     def assign(rows: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
         centers = centers.sort_values("idx")
@@ -96,15 +96,15 @@ def grown_tree(points: DataFrame, block: int, fan_out: int, sample: int) -> tupl
         parted = open_.withColumnRenamed("node", "parent").join(sizes, "parent")
         order = F.xxhash64("vector")
         sampled = parted.where(F.pmod(order, F.ceil(F.col("size") / sample)) == 0).withColumn("order", order)
-        centers = spool(sampled.groupBy("parent").applyInPandas(choose, "parent string, idx int, center array<double>"), "centers")
+        centers = spool(sampled.groupBy("parent").applyInPandas(choose, "parent string, idx int, center array<double>, units int"), "centers")
         dealt = parted.withColumn("unit", F.pmod(F.xxhash64("vector", F.lit(1)), F.col("units")).cast("int"))
-        copies = centers.join(sizes, "parent").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
+        copies = centers.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
         keys = ("parent", "unit")
         found = dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(assign, "parent string, vector binary, v binary, n bigint, idx int, dist double")
         found = spool(found.withColumn("node", F.concat_ws(".", "parent", "idx")), "assigned")
         stats = found.groupBy("node", "parent", "idx").agg(F.max("dist").alias("radius"), F.sum("n").alias("weight"), F.min("vector").alias("rep"))
         first = centers.where("idx = 0").select("parent", F.col("center").alias("first"))  # of vectors dealt by hash
-        joined = stats.join(centers, ["parent", "idx"], "left").join(first, "parent")
+        joined = stats.join(centers.drop("units"), ["parent", "idx"], "left").join(first, "parent")
         inner.append(joined.select("node", "parent", "idx", "radius", "weight", "rep", F.coalesce("center", "first").alias("center")))
         open_ = found.select("node", "vector", "v", "n")
     else:
