@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import STOP_WORDS, TOKEN, token_bucket, tokens
 from millrace.operators import search
-from millrace.sources.written import spool
+from millrace.operators.postings import PostingsIndex
+from millrace.sources.written import folder, spool
 
-K1, B, RRF_K = 1.2, 0.75, 60
+RRF_K = 60
 #: Dimensions of the hashed bag of words.
 DIMENSIONS = 4096
 
@@ -59,55 +60,14 @@ def query_terms(queries: DataFrame, stop: bool) -> DataFrame:
     return terms.where(~F.col("term").isin(STOP_WORDS)) if stop else terms
 
 
-def _vocabulary(block: pd.DataFrame, stop: bool) -> tuple[list[str], list[list[str]]]:
-    """All distinct terms of a block of queries (query_id, words), and those of each query."""
-    left_out = set(STOP_WORDS) if stop else set()
-    asked = [[t for t in dict.fromkeys(words if words is not None else []) if t not in left_out] for words in block["words"]]
-    return sorted({t for terms in asked for t in terms}), asked
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, stop: bool = True, at_once: int = 256) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, stop: bool = True, index: PostingsIndex | None = None) -> DataFrame:
     """query_id, doc_id, score, rank of the ``k`` best documents of each query that share a term with it.
 
-    For each block of queries the texts are read once: a task keeps a document's length and its counts of the block's
-    terms, one short row a document. Document frequencies, the mean length and all scores come from these rows.
+    ``index`` is one of ``docs``; without it their texts are read once, into an index of the queries' terms only.
     """
-    worded = queries.select("query_id", tokens(F.col("text")).alias("words"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
-    for block in search.blocks(worded, at_once):
-        names, asked = _vocabulary(block, stop)
-        sent = docs.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = b.column(1)
-                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                term = pc.fill_null(pc.index_in(lists.flatten(), sent.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(b.num_rows), size)[term >= 0]
-                key, n = np.unique(row * (len(sent.value) + 1) + term[term >= 0], return_counts=True)
-                row, term = key // (len(sent.value) + 1), key % (len(sent.value) + 1)
-                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), *lists], ["doc_id", "n", "terms", "tf"])
-
-        rows = spool(words.mapInArrow(count, f"doc_id {kind}, n bigint, terms array<int>, tf array<int>"), "bm25-counts")
-        stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-        df = {r.term: r.df for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
-        at = {t: i for i, t in enumerate(names)}
-        weights = np.zeros((len(names), len(block)))
-        for j, terms in enumerate(asked):
-            for i in map(at.__getitem__, terms):
-                weights[i, j] = np.log(1 + (stats.docs - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5))
-        weigh = partial(_saturated, mean=stats.mean or 1.0)
-        found = search.top_in_blocks(rows, iter([(block["query_id"].tolist(), weights)]), search.weight_scores(weigh), k)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], f"query_id long, doc_id {kind}, score double, rank int") if out is None else out
-
-
-def _saturated(tf: np.ndarray, n: np.ndarray, mean: float) -> np.ndarray:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+    asked = spool(query_terms(queries, stop), "query-terms")
+    index = index or PostingsIndex.build(docs, folder(docs.sparkSession, "postings"), parts=8, only=asked)
+    return index.search(asked, k)
 
 
 def hashed_words(df: DataFrame, *keep: str) -> DataFrame:
@@ -157,9 +117,9 @@ def rrf(channels: list[tuple[DataFrame, float]], k: int, by: str = "query_id") -
     return top(fused, k, by)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 20, question_weight: float = 0.15) -> DataFrame:
-    """Vector, lexical and question channel fused; weights 1, 1 and ``question_weight``."""
-    channels = [(bow_cosine(docs, queries, fetch), 1.0), (bm25(docs, queries, fetch), 1.0)]
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, fetch: int = 20, question_weight: float = 0.15, index: PostingsIndex | None = None) -> DataFrame:
+    """Vector, lexical and question channel fused; weights 1, 1 and ``question_weight``. ``index``: as ``bm25`` takes it."""
+    channels = [(bow_cosine(docs, queries, fetch), 1.0), (bm25(docs, queries, fetch, index=index), 1.0)]
     return rrf([*channels, (question_channel(questions(docs), queries, fetch), question_weight)], k)
 
 

@@ -133,18 +133,6 @@ def count_scores(size: int, dims: str = "dims") -> Scorer:
     return score
 
 
-def weight_scores(weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], terms: str = "terms", counts: str = "tf", size: str = "n") -> Scorer:
-    """Products of rows of terms and counts, weighed by ``weigh`` (count, size of the row), with a block, terms x queries."""
-
-    def score(part: pa.RecordBatch, block: np.ndarray) -> np.ndarray:
-        column = lambda name: part.column(part.schema.get_field_index(name))
-        term, row = _ragged(column(terms))
-        n = column(size).to_numpy(zero_copy_only=False)[row]
-        return _product(part.num_rows, row, term, weigh(_ragged(column(counts))[0], n), block)
-
-    return score
-
-
 def cosine_scores(vector: str = "v", own: str | None = None) -> Scorer:
     """Cosines of dense rows with a block (vectors of the queries, their ids); 0 where a vector has no length. A row whose
     ``own`` column is the query's id does not count."""

@@ -12,6 +12,7 @@ from millrace.operators import evidence as ev
 from millrace.operators import retrieval as ret
 from millrace.operators import tags
 from millrace.plans.oracles import _CORPUS, _FOUND, _TOK, _bow, _top
+from millrace.plans.shared import corpus_index
 from millrace.sources.tables import corpus, table
 
 QUERIES: dict = {}
@@ -155,7 +156,7 @@ def hit_importance(spark, sf):
 def evidence_block(spark, sf):
     """The numbered evidence text of a query, and how many sources it draws on."""
     docs = corpus(spark, sf)
-    hits = ret.hybrid(docs, _items(spark, sf)).join(docs.select("doc_id", "kb_id", "text"), "doc_id")
+    hits = ret.hybrid(docs, _items(spark, sf), index=corpus_index(spark, sf)).join(docs.select("doc_id", "kb_id", "text"), "doc_id")
     line = F.concat(F.lit("["), "rank", F.lit("] "), "kb_id", F.lit("/"), "doc_id", F.lit(": "), F.substring(F.translate("text", "\n", " "), 1, 40))
     grouped = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"), F.count_distinct("kb_id").alias("sources"))
     return grouped.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"), "sources")
@@ -186,7 +187,7 @@ SELECT count(*) AS n, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS hit5, ro
 def eval_means(spark, sf):
     """Means of the retrieval measures over the questions that have gold documents."""
     docs, items = corpus(spark, sf), _items(spark, sf)
-    found = ret.hybrid(docs, items).select("query_id", "doc_id", "rank")
+    found = ret.hybrid(docs, items, index=corpus_index(spark, sf)).select("query_id", "doc_id", "rank")
     both = ret.containing(docs, items).join(found, ["query_id", "doc_id"], "left")
     per = both.groupBy("query_id").agg(F.count("*").alias("gold"), F.count("rank").alias("got"), F.min("rank").alias("first"))
     mean = lambda c: F.round(F.avg(c), 6)

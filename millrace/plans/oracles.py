@@ -108,6 +108,7 @@ def _html(column: str) -> str:
 
 ORACLES = {
     "lexical_bm25_topk": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_top('t', 'lex', 20)} SELECT * FROM t",
+    "lexical_grown_index": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', True)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "lexical_relaxed": f"WITH {_CORPUS}, {_bm25('lex', 'corpus', False)}, {_top('t', 'lex', 20)} SELECT * FROM t",
     "bow_cosine_topk": f"WITH {_CORPUS}, {_bow('bow', 'corpus')}, {_top('t', 'bow', 20)} SELECT * FROM t",
     "question_topk": f"WITH {_CORPUS}, {_QUESTIONS} SELECT * FROM asked_top",

@@ -11,9 +11,11 @@ from millrace.operators import chunks
 from millrace.operators import evidence as ev
 from millrace.operators import relations as rel
 from millrace.operators import retrieval as ret
+from millrace.operators.postings import PostingsIndex
 from millrace.operators.ranges import running_before
+from millrace.plans.shared import corpus_index
 from millrace.sources.tables import corpus, table
-from millrace.sources.written import spool
+from millrace.sources.written import folder, spool
 from millrace.streaming import bucket
 from millrace.streaming.breaker import breaker
 from millrace.streaming.limiter import limit
@@ -28,11 +30,19 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 
 def lexical_bm25_topk(spark, sf):
-    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20))
+    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20, index=corpus_index(spark, sf)))
 
 
 def lexical_relaxed(spark, sf):
-    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20, stop=False))
+    return _ranked(ret.bm25(corpus(spark, sf), _items(spark, sf), 20, stop=False, index=corpus_index(spark, sf)))
+
+
+def lexical_grown_index(spark, sf):
+    """As lexical_bm25_topk, from an index that was written of three quarters of the documents and got the others after."""
+    docs = corpus(spark, sf)
+    index = PostingsIndex.build(docs.where("doc_id % 4 <> 0"), folder(spark, "grown-postings"))
+    index.add(docs.where("doc_id % 4 = 0"))
+    return _ranked(ret.bm25(docs, _items(spark, sf), 20, index=index))
 
 
 def bow_cosine_topk(spark, sf):
@@ -46,7 +56,7 @@ def question_topk(spark, sf):
 
 
 def hybrid_rrf(spark, sf):
-    return _ranked(ret.hybrid(corpus(spark, sf), _items(spark, sf)))
+    return _ranked(ret.hybrid(corpus(spark, sf), _items(spark, sf), index=corpus_index(spark, sf)))
 
 
 def acl_filtered_search(spark, sf):
@@ -129,7 +139,7 @@ def relation_class(spark, sf):
 def cross_doc_neighbors(spark, sf):
     """Documents beside the hybrid search's hits that bear on the query."""
     docs, items = corpus(spark, sf), _items(spark, sf)
-    matched = ret.hybrid(docs, items).select("query_id", "doc_id")
+    matched = ret.hybrid(docs, items, index=corpus_index(spark, sf)).select("query_id", "doc_id")
     return rel.neighbors(matched, _relations(spark, sf), rel.entities(docs), rel.query_entities(items), ret.bow_cosine(docs, items, 15)).select("query_id", "doc_id", "score", "rank")
 
 
@@ -232,7 +242,7 @@ def conversation_titles(spark, sf):
 def eval_metrics(spark, sf):
     """hit@k, recall@k and MRR of the hybrid search; gold: documents that hold the passage."""
     docs, items = corpus(spark, sf), _items(spark, sf)
-    found = ret.hybrid(docs, items).select("query_id", "doc_id", "rank")
+    found = ret.hybrid(docs, items, index=corpus_index(spark, sf)).select("query_id", "doc_id", "rank")
     gold = ret.containing(docs, items)
     sizes = gold.groupBy("query_id").agg(F.count_distinct("doc_id").alias("gold"))
     hits = found.join(gold, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("got"), F.min("rank").alias("first"), F.max((F.col("rank") <= 5).cast("int")).alias("hit5"))
@@ -264,7 +274,7 @@ def eval_transitions(spark, sf):
     docs, items = corpus(spark, sf), _items(spark, sf)
     gold = spool(ret.containing(docs, items), "gold")
     first = lambda hits: hits.join(gold, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    off, on = (first(ret.hybrid(docs, items, question_weight=w)).withColumnRenamed("first", n) for w, n in ((0.0, "off"), (0.15, "on")))
+    off, on = (first(ret.hybrid(docs, items, question_weight=w, index=corpus_index(spark, sf))).withColumnRenamed("first", n) for w, n in ((0.0, "off"), (0.15, "on")))
     state = lambda c: F.when(F.col(c) == 1, "first").when(F.col(c).isNotNull(), "found").otherwise("missed")
     both = items.select("query_id").join(off, "query_id", "left").join(on, "query_id", "left")
     return both.groupBy(state("off").alias("before"), state("on").alias("after")).agg(F.count("*").alias("n"))
@@ -346,7 +356,7 @@ def chunk_diff(spark, sf):
 def _found(spark, sf):
     """The hybrid search's hits with the documents' texts."""
     docs = corpus(spark, sf)
-    return ret.hybrid(docs, _items(spark, sf)).select("query_id", "doc_id", "score", "rank").join(docs.select("doc_id", "kb_id", "text"), "doc_id")
+    return ret.hybrid(docs, _items(spark, sf), index=corpus_index(spark, sf)).select("query_id", "doc_id", "score", "rank").join(docs.select("doc_id", "kb_id", "text"), "doc_id")
 
 
 def rerank_reorder(spark, sf):

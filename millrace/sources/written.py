@@ -33,13 +33,18 @@ def forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for tables of our own, deleted when the session's driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(forget, spark, path)
+    return path
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe when executors go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    spark, schema = df.sparkSession, df.schema
+    path = folder(spark, name)
     df.write.parquet(path)
-    atexit.register(forget, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out.spooled_at = path
     return out
