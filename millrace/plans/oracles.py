@@ -187,6 +187,9 @@ SELECT before, after, count(*) AS n FROM cells GROUP BY ALL""",
     "introspect_enums": f"""WITH v AS ({_ENUMS}) SELECT col, value FROM v WHERE col IN (SELECT col FROM v GROUP BY col HAVING count(*) <= 20)""",
     "progress_throttle": """WITH b AS (SELECT event_id, user_id, event_type, floor(value / 5)::BIGINT AS bucket, lag(floor(value / 5)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
 SELECT event_id, user_id, bucket FROM b WHERE last IS NULL OR last <> bucket OR event_type IN ('purchase', 'error')""",
+    "throttle_stream": """WITH known AS (SELECT * FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), passed AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS us FROM known),
+b AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, floor(value / 5)::BIGINT AS bucket, lag(floor(value / 5)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM known)
+SELECT event_id, user_id, bucket FROM b, passed WHERE b.us <= passed.us AND (last IS NULL OR last <> bucket OR event_type IN ('purchase', 'error'))""",
     "rate_limit_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS n FROM events",
     "token_bucket": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 m AS (SELECT *, max(us - i * 1200000000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + i * 1200000000 AS full_at FROM e)

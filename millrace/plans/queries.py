@@ -16,9 +16,10 @@ from millrace.operators.ranges import running_before
 from millrace.plans.shared import corpus_index
 from millrace.sources.tables import corpus, table
 from millrace.sources.written import folder, spool
-from millrace.streaming import bucket
+from millrace.streaming import bucket, machines
 from millrace.streaming.breaker import breaker
 from millrace.streaming.limiter import limit
+from millrace.streaming.memory import SummaryCursor, Throttle
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,6 +303,33 @@ def progress_throttle(spark, sf):
     return b.withColumn("last", F.lag("bucket").over(w)).where(changed).select("event_id", "user_id", "bucket")
 
 
+def throttle_stream(spark, sf):
+    """progress_throttle over a stream of the events, for those that a watermark of ten minutes has passed at its end."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern: a path by name has to be a folder
+    reports = events.withColumns({"bucket": F.floor(F.col("value") / 5).cast("long"), "ends": F.col("event_type").isin("purchase", "error")})
+    out = machines.over_stream(reports, "user_id", Throttle(), "10 minutes")
+    to = folder(spark, "throttle-stream")
+    machines.run_to_table(out, f"{to}/rows", f"{to}/state", spark)
+    return spark.read.schema(out.schema).parquet(f"{to}/rows").select("event_id", "user_id", "bucket")
+
+
+def _summarised(summary, turns, failures):
+    """Stands for a model: the number of turns and signs so far; where the last turn's number is divisible by 3, it answers at
+    the third call only."""
+    if turns[-1][0] % 3 == 0 and failures < 2:
+        raise ConnectionError("the model is not there")
+    count, signs = map(int, (summary or "0/0").split("/"))
+    return f"{count + len(turns)}/{signs + sum(len(t) for *_, t in turns)}"
+
+
+def summary_cursor(spark, sf):
+    """What a conversation's summariser does turn by turn, half a minute apart: summaries, failures, and where its cursor is."""
+    turns = table(spark, sf, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") % 97 * 60 + F.col("turn") * 30))
+    cursor = SummaryCursor(_summarised, window=120, trigger=60)
+    return machines.over_table(turns, "conv_id", cursor, order="turn", until=86_400 * 1_000_000)
+
+
 def rate_limit_window(spark, sf):
     """How many events of the user fall in the 300 s up to each, itself included."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
