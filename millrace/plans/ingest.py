@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import pii
 from millrace.functions.parse import parsed, table_prose
 from millrace.functions.text import TOKEN, partial_mask
+from millrace.operators import calls
 from millrace.operators import relations as rel
 from millrace.plans.oracles import _CORPUS, _ENTITIES
 from millrace.plans.oracles import TEXTS as STAR
@@ -325,12 +326,28 @@ def stub_metadata(spark, sf):
     return docs.select("doc_id", F.substring(cut(1, 3), 1, 40).alias("title"), F.substring(cut(1, 30), 1, 200).alias("summary"), F.concat_ws(" | ", cut(1, 5), cut(6, 5)).alias("questions"))
 
 
+def _stub_model(texts):
+    """Stands for an embedding model: signs, blanks and letters e of each text; over 2000 signs it refuses the batch."""
+    if any(len(t) > 2000 for t in texts):
+        raise ValueError("text too long")
+    return [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+
+@query(f"""WITH {CHUNKS} SELECT doc_id, position, CASE WHEN length(text) <= 2000 THEN length(text)::DOUBLE END AS signs, CASE WHEN length(text) <= 2000 THEN (length(text) - length(replace(text, ' ', '')))::DOUBLE END AS blanks,
+CASE WHEN length(text) <= 2000 THEN (length(text) - length(replace(text, 'e', '')))::DOUBLE END AS es, CASE WHEN length(text) > 2000 THEN 'text too long' END AS error FROM chunk""")
+def embedded_chunks(spark, sf):
+    """Chunks with what a model gives for them, 32 a call, and the errors of those that it refuses."""
+    got = calls.with_vectors(chunks(spark, sf).select("doc_id", "position", "text"), _stub_model)
+    return got.select("doc_id", "position", *(F.col("vector")[i].alias(n) for i, n in enumerate(("signs", "blanks", "es"))), "error")
+
+
 @query(f"""WITH {CHUNKS}, made AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(text) > 2000) AS failed FROM chunk GROUP BY doc_id)
 SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 'failed' WHEN failed = 0 THEN 'indexed' WHEN doc_id % 2 = 0 THEN 'unchanged' WHEN failed = n THEN 'failed' ELSE 'partial' END AS status FROM documents LEFT JOIN made USING (doc_id)""")
 def index_status(spark, sf):
     """What becomes of each document whose chunks are embedded, where over 2000 signs fail: with an old index (even ids)
     any failure keeps that as it is."""
-    made = chunks(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 2000).alias("failed"))
+    got = calls.with_vectors(chunks(spark, sf).select("doc_id", "text"), _stub_model)
+    made = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("error").alias("failed"))
     docs = corpus(spark, sf).select("doc_id").join(made, "doc_id", "left")
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "failed").when(F.col("failed") == 0, "indexed").when(F.col("doc_id") % 2 == 0, "unchanged")
     return docs.select("doc_id", status.when(F.col("failed") == F.col("n"), "failed").otherwise("partial").alias("status"))
