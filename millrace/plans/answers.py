@@ -10,7 +10,7 @@ from millrace.functions.text import TOKEN, clean_text, token_estimate
 from millrace.functions.years import head_year, name_year, query_years
 from millrace.operators import evidence as ev
 from millrace.operators import retrieval as ret
-from millrace.operators import tags
+from millrace.operators import tags, terms
 from millrace.plans.oracles import _CORPUS, _FOUND, _TOK, _bow, _top
 from millrace.plans.shared import corpus_index
 from millrace.sources.tables import corpus, table
@@ -45,12 +45,53 @@ def _hits_sql(k: int = 20) -> str:
     return f"WITH {_CORPUS}, {_bow('bow', 'corpus')}, {_top('t', 'bow', k)}, hit AS (SELECT t.*, lang, kb_id, text FROM t JOIN corpus USING (doc_id))"
 
 
-@query(f"""{_hits_sql()}, boosted AS (SELECT query_id, doc_id, round(score * CASE lang WHEN 'en' THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN contains(text, '|') THEN 1.2::DOUBLE ELSE 1 END, 8) AS score FROM hit), {_top('o', 'boosted', 20)} SELECT * FROM o""")
+#: The rule tables of the queries below: callers of the library bring their own.
+BOOST_RULES = [("lang", "en", 1.3), ("text", "|", 1.2), ("text", "%", 1.1)]
+KEY_RULES = [("unit", "%", "percent", 0), ("unit", " km", "km", 1), ("unit", " kg", "kg", 2), ("unit", " million", "million", 3), ("scope", "src1", "first", 0), ("scope", "src", "other", 1)]
+
+
+@query(f"""{_hits_sql()}, boosted AS (SELECT query_id, doc_id, round(score * CASE lang WHEN 'en' THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN contains(text, '|') THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN contains(text, '%') THEN 1.1::DOUBLE ELSE 1 END, 8) AS score FROM hit), {_top('o', 'boosted', 20)} SELECT * FROM o""")
 def section_boost(spark, sf):
     """Scores times the boosts of all rules that fit, ranked anew."""
-    boost = F.when(F.col("lang") == "en", 1.3).otherwise(1.0) * F.when(F.contains("text", F.lit("|")), 1.2).otherwise(1.0)
-    boosted = _hits(spark, sf).select("query_id", "doc_id", F.round(F.col("score") * boost, 8).alias("score"))
-    return ret.top(boosted, 20).select("query_id", "doc_id", "score", "rank")
+    rules = spark.createDataFrame(BOOST_RULES, "place string, term string, factor double")
+    found = terms.boosted(_hits(spark, sf), ["lang", "text"], rules).select("query_id", "doc_id", F.round("score", 8).alias("score"))
+    return ret.top(found, 20).select("query_id", "doc_id", "score", "rank")
+
+
+_WORDS = r"""words AS (SELECT *, row_number() OVER (ORDER BY length(term) DESC, term) AS priority FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS term FROM benchmark))"""
+
+
+def _words(spark, sf):
+    """The rule table of keywords: the longer words of the benchmark's items, longest first."""
+    found = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("term")).distinct()
+    return found.select("term", F.col("term").alias("name"), F.row_number().over(Window.orderBy(F.length("term").desc(), "term")).alias("priority"))
+
+
+@query(f"""WITH {_WORDS} SELECT conv_id, turn, arg_min(term, priority) AS keyword FROM conversations JOIN words ON contains(text, term) GROUP BY conv_id, turn""")
+def turn_keywords(spark, sf):
+    """The keyword of each turn: the first of the list that stands in it."""
+    turns = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return terms.first_in_list(turns, "text", _words(spark, sf), "id").select("id.conv_id", "id.turn", F.col("name").alias("keyword"))
+
+
+@query(rf"""WITH {_WORDS}, split AS (SELECT doc_id, source, lang, string_split_regex(text, '{terms.NUMBER}') AS b, regexp_extract_all(text, '{terms.NUMBER}') AS f FROM documents),
+v AS (SELECT doc_id, source, lang, i, f[i] AS value, array_to_string(list_transform(range(1, i + 1), lambda k: b[k] || CASE WHEN k < i THEN f[k] ELSE '' END), '') AS before,
+  left(array_to_string(list_transform(range(i + 1, least(i + 12, len(b) + 1)), lambda k: b[k] || coalesce(f[k], '')), ''), 10) AS behind FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM split)),
+w AS (SELECT *, length(before)::INT AS start, right(before, 30) AS look FROM v),
+parts AS (SELECT doc_id, start, look, p, l, substr(look, p, l) AS part FROM (SELECT *, unnest(range(1, length(look) - l + 2)) AS p FROM (SELECT *, unnest(range(6, length(look) + 1)) AS l FROM w))),
+met AS (SELECT doc_id, start, p + l AS stop, priority, term FROM parts JOIN words ON part = term),
+best AS (SELECT doc_id, start, arg_max(term, (stop, -priority)) AS metric, arg_min(term, priority) AS entity FROM met GROUP BY doc_id, start)
+SELECT w.doc_id, w.start, w.value, coalesce(metric, 'unknown') AS metric, coalesce(entity, 'whole') AS entity,
+  CASE WHEN starts_with(behind, '%') THEN 'percent' WHEN starts_with(behind, ' km') THEN 'km' WHEN starts_with(behind, ' kg') THEN 'kg' WHEN starts_with(behind, ' million') THEN 'million' ELSE 'unknown' END AS unit,
+  CASE WHEN contains(source, 'src1') THEN 'first' WHEN contains(source, 'src') THEN 'other' ELSE 'default' END AS scope, coalesce(lang, '') AS period
+FROM w LEFT JOIN best b ON b.doc_id = w.doc_id AND b.start = w.start""")
+def value_keys(spark, sf):
+    """The key of each number in a text: metric and entity before it, unit behind it, scope and period of its document."""
+    docs = corpus(spark, sf).select("doc_id", "text", F.col("kb_id").alias("section"), F.col("lang").alias("period"))
+    words = _words(spark, sf)
+    fixed = spark.createDataFrame(KEY_RULES, "kind string, term string, name string, priority int")
+    rules = fixed.unionByName(words.withColumn("kind", F.explode(F.array(F.lit("metric"), F.lit("entity")))))
+    return terms.conflict_keys(docs, rules)
 
 
 @query(f"""{_hits_sql(50)}, first AS (SELECT * FROM hit WHERE rank <= 10), tripled AS (SELECT query_id, doc_id, round(score * CASE kb_id WHEN 'src1' THEN 3 ELSE 1 END, 6) AS score FROM first),
