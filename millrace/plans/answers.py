@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.numbers import percent
 from millrace.functions.text import TOKEN, clean_text, token_estimate
@@ -13,7 +14,9 @@ from millrace.operators import retrieval as ret
 from millrace.operators import tags, terms
 from millrace.plans.oracles import _CORPUS, _FOUND, _TOK, _bow, _top
 from millrace.plans.shared import corpus_index
+from millrace.sources.jsonl import read_rows
 from millrace.sources.tables import corpus, table
+from millrace.sources.written import folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -413,6 +416,32 @@ def tolerant_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json(repaired(bad), "k string")["k"].cast("long").alias("k"))
 
 
+@query("""SELECT doc_id, md5(text) AS text_md5 FROM documents""")
+def tolerant_json_texts(spark, sf):
+    """Whole texts read back from objects that came as they should, in prose and fences, with bare keys and with a last
+    comma."""
+    from millrace.functions.json_repair import repaired
+
+    whole, d = F.to_json(F.struct("doc_id", "text")), F.col("doc_id") % 4
+    fenced = F.concat(F.lit("Here {you} are:\n```json\n"), whole, F.lit("\n```\nIt's done."))
+    bare = F.concat(F.lit("<think>{?}</think>{doc_id : "), F.col("doc_id").cast("string"), F.lit(", 'text': "), F.expr("substr(to_json(struct(text)), 9)"))
+    bare = F.when(F.col("text").isNull(), whole).otherwise(bare)
+    comma = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(" ,\n}"))
+    made = table(spark, sf, "documents").select(F.when(d == 0, whole).when(d == 1, fenced).when(d == 2, bare).otherwise(comma).alias("raw"))
+    return made.select(F.from_json(repaired(F.col("raw")), "doc_id bigint, text string").alias("r")).select("r.doc_id", F.md5("r.text").alias("text_md5"))
+
+
+@query("""SELECT CASE WHEN doc_id % 3 < 2 THEN doc_id ELSE -1 END AS doc_id, CASE doc_id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'mended' ELSE 'corrupt' END AS status, CASE WHEN doc_id % 3 < 2 THEN md5(text) END AS text_md5 FROM documents""")
+def jsonl_rows(spark, sf):
+    """Rows of JSON Lines files: a third of the lines as they should be, a third with a last comma, a third cut off."""
+    whole, d = F.to_json(F.struct("doc_id", "text")), F.col("doc_id") % 3
+    head = F.substring(whole, F.lit(1), F.length(whole) - 1)
+    path = folder(spark, "jsonl")
+    table(spark, sf, "documents").select(F.when(d == 0, whole).when(d == 1, F.concat(head, F.lit(",}"))).otherwise(head).alias("value")).write.text(path)
+    rows = read_rows(spark, path, StructType.fromDDL("doc_id bigint, text string"))
+    return rows.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "status", F.md5("text").alias("text_md5"))
+
+
 @query(f"""WITH {_CORPUS} SELECT doc_id, md5(regexp_replace(regexp_replace(text, chr(10) || '[ ]*(' || chr(10) || '[ ]*)+', chr(10), 'g'), '^[ ]+', '')) AS text_md5 FROM corpus""")
 def normalised_answers(spark, sf):
     """Texts without blank lines."""
