@@ -120,7 +120,7 @@ def manifest(
     is never tampered with. Rows equal in all fields are leaves of their own, next to each other in any order. Empty texts
     count as such; other columns play no part, whatever their names. An empty table gives an empty result.
 
-    Texts are read once, and only ids and digests move. All hashing and both passes are columns of DataFrames.
+    Texts are read twice, once to find the ranges of the order; only ids and digests move. All hashing and both passes are columns of DataFrames.
     """
     if not 2 <= fan_out <= CHUNK:
         raise ValueError(f"a fan-out lies between 2 and {CHUNK}")
