@@ -78,6 +78,26 @@ def test_query_years(spark, text, years):
     assert one(spark, text, query_years) == years
 
 
+@pytest.mark.parametrize(
+    ("text", "year"),
+    [
+        ("1999 公司 2021 年 3 月, 2022年 报告, 报告期: 2023 年, 2024年度报告", 2024), ("1999 年 2021 年 3 月, 2022 年 报告, 报告年度：2023", 2023),
+        ("1999, 2021 年 3 月, 2022 年 报告", 2022), ("1999, 2021年12月", 2021), ("1999, 2021 年", 1999), ("no", None), (None, None),
+    ],
+)
+def test_report_years_by_form(spark, text, year):
+    assert one(spark, text, head_year) == year
+
+
+@pytest.mark.parametrize(
+    ("text", "years"),
+    [("近三年营收", [2021, 2022, 2023]), ("2023年与近3年", [2023, 2021, 2022]), ("2024", [2024]), ("近年", None), (None, None)],
+)
+def test_the_last_three_years(spark, text, years):
+    known = F.array(F.lit(2023), F.lit(2021), F.lit(None).cast("int"), F.lit(2022), F.lit(2021))
+    assert one(spark, text, lambda t: query_years(t, known)) == years
+
+
 def test_document_years(spark):
     assert one(spark, "report-2021.pdf", name_year) == 2021 and one(spark, "report", name_year) is None
     assert one(spark, "x" * 1600 + " 2020", head_year) is None and one(spark, "in 1998 and 2020", head_year) == 1998
