@@ -74,12 +74,12 @@ def question_upsert(spark, sf):
     return old.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(new)
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id FROM chunk WHERE doc_id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM chunk v WHERE v.chunk_id = chunk.chunk_id AND length(v.text) >= 60)")
+@query(f"WITH {CHUNKS} SELECT chunk_id FROM chunk WHERE NOT EXISTS (SELECT 1 FROM chunk v WHERE v.chunk_id = chunk.chunk_id AND length(v.text) >= 60)")
 def orphan_questions(spark, sf):
-    """Questions of some documents whose chunk is no longer valid."""
+    """Questions whose chunk is no longer valid."""
     every = chunks(spark, sf)
     valid = every.where(F.length("text") >= 60).select("chunk_id")
-    return every.where("doc_id % 5 = 0").select("chunk_id").join(valid, "chunk_id", "left_anti")
+    return every.select("chunk_id").join(valid, "chunk_id", "left_anti")
 
 
 @query("""WITH edges AS (SELECT a.doc_id AS source, b.doc_id AS target FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE a.text IS NOT NULL),
@@ -128,14 +128,15 @@ def chunk_preview(spark, sf):
     return chunks(spark, sf).select("chunk_id", info.alias("info"), F.substring("text", 1, 100).alias("preview"))
 
 
-@query("""SELECT '## ' || source || chr(10) || string_agg('- ' || doc_id || ': ' || n_chars, chr(10) ORDER BY doc_id) AS page FROM documents WHERE source IS NOT NULL AND doc_id % 10 = 0 GROUP BY source""")
+@query("""SELECT '## ' || source || ' ' || (doc_id // 1000) || chr(10) || string_agg('- ' || doc_id || ': ' || n_chars, chr(10) ORDER BY doc_id) AS page FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source, doc_id // 1000""")
 def dictionary_pages(spark, sf):
-    """A Markdown page for each source: its name, then a line for each of the documents listed there."""
-    listed = corpus(spark, sf).where("kb_id is not null and doc_id % 10 = 0")
+    """Markdown pages of each source, one for each thousand of ids, so that none grows with the source: its name and number,
+    then a line for each document."""
+    listed = corpus(spark, sf).where("kb_id is not null and doc_id is not null").withColumn("number", F.floor(F.col("doc_id") / 1000))
     entry = F.concat(F.lit("- "), F.col("doc_id"), F.lit(": "), F.col("n_chars"))
     lines = F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("line"))))
-    pages = listed.groupBy("kb_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
-    return pages.select(F.concat(F.lit("## "), "kb_id", F.lit("\n"), "body").alias("page"))
+    pages = listed.groupBy("kb_id", "number").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
+    return pages.select(F.concat(F.lit("## "), "kb_id", F.lit(" "), "number", F.lit("\n"), "body").alias("page"))
 
 
 @query("SELECT (props::JSON->>'k')::INT AS k, count(*) AS n FROM events GROUP BY 1")
@@ -364,12 +365,12 @@ def parsed_files(spark, sf):
     return read.select("doc_id", F.md5("p.text").alias("text_md5"), "p.error")
 
 
-@query(f"{_ENTITIES} SELECT DISTINCT e.doc_id FROM ents e JOIN documents d USING (doc_id) WHERE d.source <> 'src1' AND e.entity IN (SELECT entity FROM ents JOIN documents o USING (doc_id) WHERE o.source = 'src1' AND o.doc_id % 50 = 0)")
+@query(f"{_ENTITIES} SELECT DISTINCT e.doc_id FROM ents e JOIN documents d USING (doc_id) WHERE d.source <> 'src1' AND e.entity IN (SELECT entity FROM ents JOIN documents o USING (doc_id) WHERE o.source = 'src1')")
 def sharing_documents(spark, sf):
-    """Documents outside of a source that share an entity with one of some of its documents."""
+    """Documents outside of a source that share an entity with one of its documents."""
     docs = corpus(spark, sf)
     ents = rel.entities(docs).join(docs.select("doc_id", "kb_id"), "doc_id")
-    asked = ents.where("kb_id = 'src1' and doc_id % 50 = 0").select("entity").distinct()
+    asked = ents.where("kb_id = 'src1'").select("entity").distinct()
     return ents.where("kb_id <> 'src1'").join(asked, "entity", "left_semi").select("doc_id").distinct()
 
 
