@@ -13,8 +13,10 @@ from millrace.operators import relations as rel
 from millrace.plans.oracles import _CORPUS, _ENTITIES
 from millrace.plans.oracles import TEXTS as STAR
 from millrace.sources import tables
+from millrace.sources.commits import Store
 from millrace.sources.tables import corpus, table
-from millrace.sources.written import shared_dir
+from millrace.sources.written import folder
+from millrace.streaming.indexing import index_documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,9 +48,7 @@ chunk AS (SELECT doc_id || '_' || position AS chunk_id, doc_id, kb_id, position:
 @query(f"WITH {CHUNKS} SELECT kb_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM chunk WHERE kb_id IN ('src1', 'src2') GROUP BY kb_id")
 def chunk_sink(spark, sf):
     """Chunks appended to the sink, a folder for each source; two sources read back, of which only their folders are."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    path = folder(spark, "chunks")
     tables.append_chunks(chunks(spark, sf), path)
     back = spark.read.parquet(path).where(F.col("kb_id").isin("src1", "src2"))
     return back.groupBy("kb_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -57,21 +57,29 @@ def chunk_sink(spark, sf):
 @query(f"""WITH {CHUNKS}, old AS (SELECT *, 1 AS version FROM chunk WHERE position % 3 <> 0), new AS (SELECT * FROM chunk WHERE position % 3 <> 1)
 SELECT n.chunk_id, n.hash, coalesce(o.version, 2)::INT AS version FROM new n LEFT JOIN old o ON o.chunk_id = n.chunk_id AND o.hash = n.hash""")
 def chunk_upsert(spark, sf):
-    """The chunk table after an update: vanished chunks gone, unchanged ones kept with their version, the others new."""
-    every = chunks(spark, sf)
-    old = every.where("position % 3 <> 0").select("chunk_id", "hash", F.lit(1).alias("version"))
-    new = every.where("position % 3 <> 1").select("chunk_id", "hash")
-    return new.join(old, ["chunk_id", "hash"], "left").select("chunk_id", "hash", F.coalesce("version", F.lit(2)).alias("version"))
-
-
-@query(f"""WITH {CHUNKS}, old AS (SELECT chunk_id, 'old ' || left(text, 20) AS question FROM chunk WHERE position < 4), new AS (SELECT chunk_id, left(text, 20) AS question FROM chunk WHERE position % 2 = 0 AND position < 8)
+    """The chunk table after a committed update: vanished chunks gone, unchanged ones kept with their version, the others
+    new. Chunks are dealt by document, and those of a document are replaced together."""
+    every = chunks(spark, sf).select("doc_id", "chunk_id", "hash", "position")
+    store = Store(spark, folder(spark, "chunk_store"), 16)
+    old = every.where("position % 3 <> 0").select("doc_id", "chunk_id", "hash", F.lit(1).alias("version"))
+    before = store.update(lambda c: c.put("chunks", old, ["doc_id"]))
+    kept = before.read("chunks").drop("doc_id")
+    new = every.where("position % 3 <> 1").join(kept, ["chunk_id", "hash"], "left").withColumn("version", F.coalesce("version", F.lit(2)))
+    gone = every.select("doc_id").distinct()
+    after = store.update(lambda c: c.put("chunks", new.select("doc_id", "chunk_id", "hash", "version"), ["doc_id"], gone))
+    return after.read("chunks").drop("doc_id")
+
+
+@query(f"""WITH {CHUNKS}, old AS (SELECT chunk_id, 'old ' || left(text, 20) AS question FROM chunk WHERE position % 3 <> 0), new AS (SELECT chunk_id, left(text, 20) AS question FROM chunk WHERE position % 2 = 0)
 SELECT chunk_id, question FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT chunk_id, question FROM new""")
 def question_upsert(spark, sf):
-    """Questions after an update: those of the chunks that come again are replaced."""
-    every = chunks(spark, sf)
-    old = every.where("position < 4").select("chunk_id", F.concat(F.lit("old "), F.substring("text", 1, 20)).alias("question"))
-    new = every.where("position % 2 = 0 and position < 8").select("chunk_id", F.substring("text", 1, 20).alias("question"))
-    return old.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(new)
+    """Questions after a committed update: those of the chunks that come again are replaced."""
+    every = chunks(spark, sf).select("chunk_id", "position", F.substring("text", 1, 20).alias("question"))
+    store = Store(spark, folder(spark, "question_store"), 16)
+    old = every.where("position % 3 <> 0").select("chunk_id", F.concat(F.lit("old "), "question").alias("question"))
+    store.update(lambda c: c.put("questions", old, ["chunk_id"]))
+    new = every.where("position % 2 = 0").select("chunk_id", "question")
+    return store.update(lambda c: c.put("questions", new, ["chunk_id"])).read("questions")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id FROM chunk WHERE NOT EXISTS (SELECT 1 FROM chunk v WHERE v.chunk_id = chunk.chunk_id AND length(v.text) >= 60)")
@@ -86,14 +94,15 @@ def orphan_questions(spark, sf):
 stars AS (SELECT min(source) AS source, target FROM edges GROUP BY target)
 SELECT source, target FROM stars WHERE source % 7 <> 0 AND target % 7 <> 0""")
 def relation_sink(spark, sf):
-    """Links of equal texts to their first, after the documents divisible by 7 have been taken out on both ends."""
+    """Links of equal texts to their first, written, and read back after a commit that takes the documents divisible by 7
+    out on both ends."""
     docs = corpus(spark, sf).where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
     first = docs.groupBy("hash").agg(F.min("doc_id").alias("source"))
     links = docs.join(first, "hash").where("doc_id > source").select("source", F.col("doc_id").alias("target"))
+    store = Store(spark, folder(spark, "relation_store"), 16)
+    store.update(lambda c: c.put("relations", links.select("source", "target"), ["source"]))
     gone = docs.where("doc_id % 7 = 0").select("doc_id")
-    for end in ("source", "target"):
-        links = links.join(gone.select(F.col("doc_id").alias(end)), end, "left_anti")
-    return links.select("source", "target")
+    return store.update(lambda c: c.delete("relations", gone, ["source", "target"])).read("relations")
 
 
 _NAMES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", *STAR]
@@ -148,10 +157,23 @@ def json_props(spark, sf):
 @query(f"""WITH {CHUNKS}, kept AS (SELECT doc_id FROM corpus WHERE kb_id <> 'src1' OR kb_id IS NULL)
 SELECT 'documents' AS of, count(*) AS n FROM kept UNION ALL SELECT 'chunks', count(*) FROM chunk WHERE doc_id IN (FROM kept) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IN (FROM kept)""")
 def cascade_delete(spark, sf):
-    """What is left in each table after a source has gone, with all that hangs on its documents."""
-    gone = corpus(spark, sf).where("kb_id = 'src1'").select("doc_id")
-    of = {"documents": corpus(spark, sf), "chunks": chunks(spark, sf), "labels": table(spark, sf, "labels")}
-    left = [df.join(gone, "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("of"), "n") for name, df in of.items()]
+    """What is left in each table after one commit in which a source has gone, with all that hangs on its documents."""
+    store = Store(spark, folder(spark, "cascade_store"), 16)
+    held = {"documents": corpus(spark, sf).select("doc_id", "kb_id"), "chunks": chunks(spark, sf).select("doc_id", "chunk_id", "hash"),
+            "labels": table(spark, sf, "labels")}
+
+    def fill(c):
+        for name, df in held.items():
+            c.put(name, df, ["doc_id"])
+
+    def drop(c):
+        gone = before.read("documents").where("kb_id = 'src1'").select("doc_id")
+        for name in held:
+            c.delete(name, gone, ["doc_id"])
+
+    before = store.update(fill)
+    after = store.update(drop)
+    left = [after.read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("of"), "n") for name in held]
     return left[0].unionByName(left[1]).unionByName(left[2])
 
 
@@ -354,6 +376,28 @@ def index_status(spark, sf):
     return docs.select("doc_id", status.when(F.col("failed") == F.col("n"), "failed").otherwise("partial").alias("status"))
 
 
+@query(f"""WITH {CHUNKS}, made AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(text) > 2000) AS failed FROM chunk GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 'failed' WHEN failed = 0 THEN 'indexed' WHEN failed = n OR doc_id % 3 = 0 AND starts THEN 'failed' ELSE 'partial' END AS status,
+CASE WHEN coalesce(n, 0) = 0 THEN 'no chunks' WHEN failed > 0 THEN 'text too long' END AS error,
+(CASE WHEN doc_id % 3 = 0 AND starts AND failed > 0 THEN 1 ELSE coalesce(n - failed, 0) END)::BIGINT AS n_held
+FROM (SELECT doc_id, length(trim(string_split(text, chr(10))[1])) > 0 AND length(string_split(text, chr(10))[1]) <= 2000 AS starts FROM documents) LEFT JOIN made USING (doc_id)""")
+def index_deliveries(spark, sf):
+    """Documents and their chunks after three deliveries: the first lines of every third document, then all documents, and
+    these once more, which changes nothing. n_held: the chunks that the store holds of a document."""
+    store = Store(spark, folder(spark, "index_store"), 16)
+    docs = corpus(spark, sf).select("doc_id", "text", F.lit(1).alias("at"))
+    heads = docs.where("doc_id % 3 = 0").withColumn("text", F.substring_index("text", "\n", 1))
+    for number, batch in ((0, heads), (1, docs), (1, docs)):
+        after = store.update(lambda c, b=batch: index_documents(c, b, "at", _cut, _stub_model), "documents", number)
+    held = after.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n_held"))
+    return after.read("documents").join(held, "doc_id", "left").select("doc_id", "status", "error", F.coalesce("n_held", F.lit(0)).alias("n_held"))
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """Lines that are not blank, as ``chunks`` cuts them."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text")).where(F.trim("text") != "")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 3 THEN 'unsupported suffix: bin' END AS error FROM documents WHERE regexp_full_match(text, '(?s)[\\x{01}-\\x{FF}]*')""")
 def parsed_files(spark, sf):
     """Documents as files of several suffixes and encodings, read back by the parser that their names call for."""
