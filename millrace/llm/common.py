@@ -86,7 +86,9 @@ def bucketed(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFra
     rows = df if dealt else df.repartition(parts, key)
     rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(table)
     atexit.register(forget, spark, path)
-    return spark.table(table)
+    out = spark.table(table)  # resolved here, so the catalog's entry is no longer needed; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 #: A hot key is one that has over 1 / PIECES of all rows, so there are fewer than PIECES of them.

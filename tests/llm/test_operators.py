@@ -1,5 +1,6 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
+import random
 import itertools
 import os
 import zlib
@@ -399,6 +400,28 @@ def test_passages_against_all_pairs_of_runs(spark):
     assert runs > 1000 and wrong == 0
 
 
+def test_passages_in_a_crowd(spark):
+    """Unlike texts that share one of two phrases of 25 words, and in each crowd two texts that share both: 41 / 51."""
+    rng, rows, near, n = random.Random(5), [], [], 0
+
+    def new(k):
+        nonlocal n
+        n += k
+        return [f"w{i}x" for i in range(n - k, n)]
+
+    for _ in range(3):
+        p, q = new(25), new(25)
+        crowd = [new(60) + (p if k % 2 else q) + new(60) for k in range(80)] + [new(60) + p + new(1) + q + new(60) for _ in range(2)]
+        order = list(range(82))
+        rng.shuffle(order)
+        near.append(frozenset(len(rows) + order.index(k) for k in (80, 81)))
+        rows += [(len(rows) + i, " ".join(crowd[k])) for i, k in enumerate(order)]
+    before = {t.name for t in spark.catalog.listTables()}
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.of_doc_id)) for r in found} == set(near)
+    assert {t.name for t in spark.catalog.listTables()} == before  # dealt tables leave no entry
+
+
 def test_passages(spark, odd):
     shared = prose(10_000, 60)
     rows = [
