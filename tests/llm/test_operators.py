@@ -1,8 +1,8 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
-import random
 import itertools
 import os
+import random
 import zlib
 
 import duckdb
