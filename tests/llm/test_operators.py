@@ -422,6 +422,26 @@ def test_passages_in_a_crowd(spark):
     assert {t.name for t in spark.catalog.listTables()} == before  # dealt tables leave no entry
 
 
+def test_repeated_words_and_lines_give_few_windows(spark):
+    """One word over and over, and one line: stretches of many lengths that texts share, beside words of their own."""
+    rng, rows = random.Random(3), []
+    line = [word(7 * 10**7 + k) for k in range(9)]
+
+    def own(k):
+        return [word(8 * 10**7 + rng.randrange(10**7)) for _ in range(k)]
+
+    for k in (500, 60, 30, 90, 30):
+        rows.append((len(rows), " ".join(own(70) + ["again"] * k + own(70))))
+    for k in (30, 5, 7, 12):
+        rows.append((len(rows), " ".join(own(70) + line * k + own(40) + line[2:] * 9 + own(30))))
+    rows.append((len(rows), " ".join(own(20) + line[4:] + line * 8 + own(60) + ["again"] * 55)))
+    windows = passages.window_table(spark.createDataFrame(rows, "rid long, text string"), 5, 21).collect()
+    assert len(windows) < 400 and max(w.past for w in windows) > 400
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    runs, wrong = check_passages(rows, found)
+    assert runs > 700 and wrong == 0
+
+
 def test_passages(spark, odd):
     shared = prose(10_000, 60)
     rows = [
