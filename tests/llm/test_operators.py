@@ -459,6 +459,18 @@ def test_passages(spark, odd):
     assert cut[6] == "" and cut[9] is None and cut[4] == dict(rows)[4] and prose(300, 200).startswith(cut[2]) and len(cut[2].split()) >= 194
 
 
+def test_a_run_is_near_one_run_and_texts_meet_once(spark):
+    a = np.arange(46, dtype=np.int32)
+    apart = np.concatenate([a[:23], np.arange(100, 130, dtype=np.int32), a[23:]])  # all of a, but in no run as long
+    assert passages.matching_runs(a, apart, 46, 0.8) == [] and passages.matching_runs(a, np.append(a, 7), 46, 0.8) == [(0, 46, 1.0)]
+    words = [w for k in range(6) for w in [word(9 * 10**7 + k)] * 30]
+    rows = [(i, " ".join([f"own{i}", *words[i:]])) for i in range(4)]
+    texts = spark.createDataFrame(rows, "rid long, text string").selectExpr("rid as row", "rid", "text")
+    labelled = passages._grouped(texts, 5, 21).selectExpr("*", "-1 - rid as label")
+    pairs = passages._unjoined(labelled, texts, texts, 5, 46, 41)
+    assert pairs.count() == pairs.select("rid", "of").distinct().count() == 6
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 60, 120).astype(np.uint64)
