@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import percent, ratio
+from millrace.functions.text import STOP_WORDS, THREE_TOKENS, TOKEN
 from millrace.operators import relations, retrieval, search
+from millrace.plans import queries as plans
 
 
 def test_blocks_hold_each_query_once(spark):
@@ -82,3 +84,43 @@ def test_rounding(spark):
     df = spark.createDataFrame([(1, 8), (5, 8), (2, 3), (0, 7), (1, 0), (1005, 1000)], "a long, b long")
     got = [(r.r, r.p) for r in df.select(ratio(F.col("a"), F.col("b")).alias("r"), percent(F.col("a"), F.col("b")).alias("p")).collect()]
     assert got == [(0.13, 12.5), (0.63, 62.5), (0.67, 66.67), (0.0, 0.0), (None, None), (1.01, 100.5)]
+
+
+@pytest.mark.parametrize("stop", [True, False])
+def test_terms_are_scored_where_they_are_counted(spark, stop, monkeypatch):
+    """No posting is written or shuffled; ties, null texts and stop words as a plain version has them."""
+    monkeypatch.setattr(retrieval.PostingsIndex, "build", lambda *a, **b: pytest.fail("an index was written"))
+    rng = np.random.default_rng(3)
+    words = ["the", "and", "red", "blue", "oak", "elm", "sea"]
+    texts = {i: " ".join(rng.choice(words, rng.integers(1, 9))) for i in range(300)} | {300: None, 301: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked = {1: "the red oak", 2: "sea and elm", 3: "nothing here", 4: "blue"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    split = {i: t.split() for i, t in texts.items() if t is not None}
+    mean = np.mean([len(w) for w in split.values()])
+    want = {}
+    for q, text in asked.items():
+        scores = {}
+        for term in set(text.split()) - set(STOP_WORDS if stop else []):
+            df = sum(term in w for w in split.values())
+            for i, w in split.items():
+                if tf := w.count(term):
+                    scores[i] = scores.get(i, 0) + np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        best = sorted((-round(s, 6), i) for i, s in scores.items())[:7]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.bm25(docs, queries, 7, stop=stop).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert np.allclose([got[k][1] for k in want], [v[1] for v in want.values()], atol=2e-6)
+
+
+def test_lines_of_three_tokens(spark):
+    lines = ["a b c", "abc", "a b", "ab-c_d!", "中文字", "中 a", "", "... a,b;c", "é ü1 2", "x" * 5000, "\ufffd\u9ffd a b c", "a\u9ffd b", "aİb c"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select(F.lower("x").rlike(THREE_TOKENS).alias("a"), (F.regexp_count(F.lower("x"), F.lit(TOKEN)) >= 3).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+
+
+def test_questions_know_their_documents(spark):
+    asked = spark.createDataFrame([(d, p, f"word{d} line{p} same") for d in (-5, -1, 0, 7, 2**60) for p in range(3)], "doc_id long, position int, text string")
+    queries = spark.createDataFrame([(1, "same"), (2, "word-5 line1 same")], "query_id long, text string")
+    got = {(r.query_id, r.doc_id) for r in retrieval.question_channel(asked, queries, 5).collect()}
+    assert {d for q, d in got if q == 1} == {-5, -1, 0, 7, 2**60}
