@@ -124,3 +124,13 @@ def test_questions_know_their_documents(spark):
     queries = spark.createDataFrame([(1, "same"), (2, "word-5 line1 same")], "query_id long, text string")
     got = {(r.query_id, r.doc_id) for r in retrieval.question_channel(asked, queries, 5).collect()}
     assert {d for q, d in got if q == 1} == {-5, -1, 0, 7, 2**60}
+
+
+@pytest.mark.parametrize(("name", "times"), [("rerank_reorder", 1)])
+def test_a_search_is_done_once(spark, name, times, monkeypatch):
+    """What two parts of a plan read is searched once: plans beyond the written hits read no document."""
+    found, channels = [], retrieval.channels
+    monkeypatch.setattr(retrieval, "channels", lambda *a, **b: found.append(1) or channels(*a, **b))
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(found) == times and "lang#" not in plan and "n_chars#" not in plan
+    assert "MapInArrow" not in plan
