@@ -126,7 +126,7 @@ def test_questions_know_their_documents(spark):
     assert {d for q, d in got if q == 1} == {-5, -1, 0, 7, 2**60}
 
 
-@pytest.mark.parametrize(("name", "times"), [("evidence_gate", 1), ("rerank_reorder", 1)])
+@pytest.mark.parametrize(("name", "times"), [("eval_transitions", 1), ("evidence_gate", 1), ("rerank_reorder", 1)])
 def test_a_search_is_done_once(spark, name, times, monkeypatch):
     """What two parts of a plan read is searched once: plans beyond the written hits read no document."""
     found, channels = [], retrieval.channels
