@@ -134,3 +134,37 @@ def test_a_search_is_done_once(spark, name, times, monkeypatch):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(found) == times and "lang#" not in plan and "n_chars#" not in plan
     assert "MapInArrow" not in plan
+
+
+def _random_entities(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, f"e{e}", int(rng.integers(2, 9))) for d in range(120) for e in sorted({int(x) for x in rng.zipf(1.6, 12) if x < 60})]
+    return rows, spark.createDataFrame(rows, "doc_id long, entity string, freq long")
+
+
+def test_relations_of_some_documents_are_those_of_all(spark, monkeypatch):
+    """Of the documents that are asked for alone, not of all chosen ones: no more are held against the others."""
+    _, ents = _random_entities(spark)
+    chosen = F.col("doc_id") % 20 == 0
+    every = {tuple(r) for r in relations.pair_relations(ents, chosen, at_once=4).collect()}
+    read, blocks = [], search.blocks
+    monkeypatch.setattr(search, "blocks", lambda *a: (read.append(len(b)) or b for b in blocks(*a)))
+    for some in ({0, 7, 20, 33}, {5}, set()):
+        read.clear()
+        of = spark.createDataFrame([(d,) for d in some], "doc_id long")
+        got = [tuple(r) for r in relations.related(relations.weighted_rows(ents), chosen, of, at_once=3).collect()]
+        assert sorted(got) == sorted(r for r in every if {r[0], r[1]} & some)
+        assert sum(read) == len(some)
+
+
+def test_shares_of_a_querys_entities(spark):
+    rows, ents = _random_entities(spark)
+    asked = {1: ["e1", "e2", "e3", "none"], 2: ["e5"], 3: ["none"]}
+    queries = spark.createDataFrame([(q, e) for q, es in asked.items() for e in es], "query_id long, entity string")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in relations.worded(relations.weighted_rows(ents), queries, 6).collect())
+    want = []
+    for q, es in asked.items():
+        shares = {d: round(len({e for dd, e, _ in rows if dd == d} & set(es)) / len(es), 6) for d in range(120)}
+        best = sorted((-s, d) for d, s in shares.items() if s >= 0.2)[:6]
+        want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    assert got == sorted(want)
