@@ -1,6 +1,7 @@
 """Blocked search, relations and rankings against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,20 @@ def test_shares_of_a_querys_entities(spark):
         best = sorted((-s, d) for d, s in shares.items() if s >= 0.2)[:6]
         want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_a_blocks_terms_take_no_more_room_than_they_are():
+    """Common terms of rows and queries as a dense product has them, from a table as large as the queries' terms."""
+    rng = np.random.default_rng(8)
+    names = pa.array(sorted(f"t{i}" for i in range(50)), pa.string())
+    lists = [sorted({names[int(i)].as_py() for i in rng.integers(0, 50, n)}) for n in (0, 1, 5, 30)]
+    weights = [rng.random(len(ts)) for ts in lists]
+    terms = search.Terms(names, lists, weights)
+    assert len(terms.query) == len(terms.weight) == sum(map(len, lists)) and len(terms.starts) == 51
+    dense, rows = np.zeros((50, 4)), rng.random((6, 50)) * (rng.random((6, 50)) < 0.3)
+    for q, (ts, w) in enumerate(zip(lists, weights, strict=True)):
+        dense[[names.index(t).as_py() for t in ts], q] = w
+    row, code = np.nonzero(rows)
+    sums, both = terms.met_twice(6, row, code, rows[row, code])
+    assert np.allclose(sums, rows @ dense) and (both == (rows > 0).astype(int) @ (dense > 0).astype(int)).all()
+    assert np.allclose(terms.met(6, row, code, rows[row, code]), sums)
